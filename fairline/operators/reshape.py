@@ -84,6 +84,32 @@ def select_value(df: DataFrame, min_ev: float = 0.03, max_ev: float = 1.0, min_o
     return df.where(cond & F.col("selection").isin(list(selections)) if selections else cond)
 
 
+def best_bet(df: DataFrame, legs: Sequence[dict], keep: Sequence[str], min_ev: float, max_ev: float,
+             max_odds: float = 100.0, strict_min: bool = False) -> DataFrame:
+    """Best qualifying outcome of each match row, ties to the first selection name.
+
+    For match tables with one row per match the pick is a row-level maximum, so "one bet per match"
+    needs neither an unpivot nor a shuffle.
+    """
+    with_close = any("close_fair_odds" in leg for leg in legs)
+    names = sorted((leg["selection"] for leg in legs), reverse=True)
+
+    def entry(leg: dict) -> Column:
+        p, o = col(leg["p"]).cast("double"), col(leg["odds"]).cast("double")
+        ev = p * o - 1.0
+        f = [ev.alias("ev"), F.lit(names.index(leg["selection"])).alias("_pref"), F.lit(leg["selection"]).alias("selection"),
+             p.alias("p"), o.alias("odds"), col(leg["won"]).cast("boolean").alias("won")]
+        if with_close:
+            f.append(col(leg["close_fair_odds"]).cast("double").alias("close_fair_odds"))
+        ok = ((ev > min_ev) if strict_min else (ev >= min_ev)) & (ev <= max_ev) & (o <= max_odds)
+        return F.when(ok, F.struct(*f))
+
+    best = F.explode_outer(F.array(F.greatest(*[entry(leg) for leg in legs])))     # fence against filter pushdown
+    out = (df.select(*keep, best.alias("_b")).where("_b is not null")
+           .select(*keep, "_b.selection", "_b.p", "_b.odds", "_b.won", *(["_b.close_fair_odds"] if with_close else []), "_b.ev"))
+    return out.withColumn("clv", F.col("odds") / F.col("close_fair_odds") - 1.0) if with_close else out
+
+
 def top_by(df: DataFrame, keys: Sequence[str], by: str, tie: str, largest: bool = True) -> DataFrame:
     """One row per key: the largest (smallest) `by`, the smallest `tie` among equals.
 

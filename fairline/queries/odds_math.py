@@ -31,14 +31,20 @@ def value_bets(spark, sf, keep=("match_id", "match_date", "season", "country", "
     return R.select_value(R.candidate_bets(m, R.three_way_legs("sharp", "max"), list(keep)), 0.02, 0.30)
 
 
+def best_bets(spark, sf, keep=("match_id", "match_date", "season", "country", "home", "away")):
+    """One bet per match: best EV of the best price, in [2 %, 30 %]."""
+    m = R.add_labels(view(spark, sf, "matches"))
+    m = O.with_devig(m, PS, ["sharp_ph", "sharp_pd", "sharp_pa"])
+    return R.best_bet(m, R.three_way_legs("sharp", "max"), list(keep), 0.02, 0.30)
+
+
 @query("FLAGSHIP_value_by_season", f"""with {CANDIDATES},
 b as (select *, {ONE_PER_MATCH} as rn from ev where ev >= 0.02 and ev <= 0.30)
 select season, count(*) as n, round(avg(case when won then odds-1 else -1 end), 6) as roi,
  round(avg(odds), 6) as mean_odds, round(avg(case when won then 1.0 else 0.0 end), 6) as hit_rate
 from b where rn = 1 group by season""", ("matches",))
 def flagship(spark, sf):
-    best = R.top_by(value_bets(spark, sf), ["match_id"], "ev", "selection")
-    return E.roi_stats(best, ["season"]).select("season", "n", r("roi").alias("roi"), r("mean_odds").alias("mean_odds"),
+    return E.roi_stats(best_bets(spark, sf), ["season"]).select("season", "n", r("roi").alias("roi"), r("mean_odds").alias("mean_odds"),
                                                 r("hit_rate").alias("hit_rate"))
 
 
