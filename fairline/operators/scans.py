@@ -96,10 +96,11 @@ def decayed_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice
     past = F.collect_list(F.struct(F.col("_sn").alias("n"), F.col("_end").alias("t"))).over(earlier)
     carry = slices.select(
         *keys, slice_col, F.coalesce(F.sum("_sn").over(earlier), F.lit(0)).alias("_n0"), past.alias("_past"))
-    carry = carry.select(*keys, slice_col, "_n0", *[
-        F.aggregate("_past", F.lit(0.0),
-                    lambda a, x, n=n, d=d: a * F.exp(x["n"] * math.log(d)) + x["t"][n]).alias(f"_s_{n}")
-        for n, (_, d) in series.items()])
+
+    def fold(n: str, d: float) -> Column:
+        return F.aggregate("_past", F.lit(0.0), lambda a, x: a * F.exp(x["n"] * math.log(d)) + x["t"][n])
+
+    carry = carry.select(*keys, slice_col, "_n0", *[fold(n, d).alias(f"_s_{n}") for n, (_, d) in series.items()])
     block_in = (blocks.join(carry, [*keys, slice_col]).select(
         *keys, slice_col, "_blk", "_n0",
         *[(F.col(f"_b_{n}") + F.col(f"_s_{n}") * F.exp(F.col("_blk") * BLOCK * math.log(d))).alias(f"_in_{n}")

@@ -59,23 +59,29 @@ def strategy_grid(df: DataFrame, configs: Sequence[dict], probs: dict[str, Seque
     maxima over the match row, and only then fan out over an equi-join with the settings.
     """
     table = config_table(df.sparkSession, configs)
-    combos = sorted({(c["prob"], c["book"], float(c.get("max_odds", 100.0))) for c in configs})
     order = sorted(labels, reverse=True)
 
-    def pick(prob: str, book: str, top: float) -> Column:
-        cells = []
-        for i, label in enumerate(labels):
-            p, o = F.col(probs[prob][i]), F.col(books[book][i])
-            ev = p * o - 1
-            clv = (o / F.col(close[i]) - 1) if close else F.lit(None).cast("double")
-            cells.append(F.when((ev <= max_ev) & (o <= top), F.struct(
-                ev.alias("ev"), F.lit(order.index(label)).alias("pref"), F.lit(label).alias("selection"), p.alias("p"),
-                o.alias("odds"), F.col(won[i]).alias("won"), clv.alias("clv"))))
-        return F.struct(F.lit(prob).alias("prob"), F.lit(book).alias("book"), F.lit(top).alias("max_odds"),
-                        F.greatest(*cells).alias("b"))
-
-    picks = (df.select(*keep, F.explode(F.array(*[pick(*c) for c in combos])).alias("r"))
-             .select(*keep, "r.prob", "r.book", "r.max_odds", "r.b.*").where("ev is not null").drop("pref"))
+    def choice(names: dict[str, Sequence[str]], tag: str) -> Column:
+        used = sorted({c[tag] for c in configs})
+        return F.explode(F.array(*[F.struct(F.lit(x).alias(tag), *[F.col(names[x][i]).cast("double").alias(f"v{i}")
+                                                                   for i in range(len(labels))]) for x in used]))
+
+    base = [*keep, *won, *(close or [])]
+    book_cols = sorted({x for b in {c["book"] for c in configs} for x in books[b]})
+    d = df.select(*base, *book_cols, choice(probs, "prob").alias("_p")).select(*base, "_p", choice(books, "book").alias("_o"))
+    tops = sorted({float(c.get("max_odds", 100.0)) for c in configs})
+    d = d.select(*base, "_p", "_o", F.explode(F.array(*[F.lit(t) for t in tops])).alias("max_odds"))
+
+    def cell(i: int) -> Column:
+        p, o = F.col(f"_p.v{i}"), F.col(f"_o.v{i}")
+        clv = (o / F.col(close[i]) - 1) if close else F.lit(None).cast("double")
+        return F.when((p * o - 1 <= max_ev) & (o <= F.col("max_odds")), F.struct(
+            (p * o - 1).alias("ev"), F.lit(order.index(labels[i])).alias("pref"), F.lit(labels[i]).alias("selection"),
+            p.alias("p"), o.alias("odds"), F.col(won[i]).alias("won"), clv.alias("clv")))
+
+    best = F.explode_outer(F.array(F.greatest(*[cell(i) for i in range(len(labels))]))).alias("b")
+    picks = d.select(*keep, "_p.prob", "_o.book", "max_odds", best)
+    picks = picks.select(*keep, "prob", "book", "max_odds", "b.*").drop("pref")
     floor = min(float(c["min_ev"]) for c in configs)
     chosen = picks.where(F.col("ev") >= floor).join(table, ["prob", "book", "max_odds"]).where("ev >= min_ev")
     return chosen, table
