@@ -22,6 +22,7 @@ def local_session(cpus: str = "*", app: str = "fairline", driver_memory: str = "
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: what the cluster names, a fresh local one only where none is set."""
+    # the setting is read from the session, so one program runs unchanged on a cluster and in tests
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named and current is None:
