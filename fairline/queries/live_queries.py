@@ -83,11 +83,11 @@ def sharp_ticks(spark, sf):
     return t.withColumns({"fair_prob": 1 / F.col("odds") + 0.02 * (F.col("tick_id") % 7) / 10, "pin_margin": 0.01 * (F.col("tick_id") % 12), "market": m}).withColumn("fair_odds", 1 / F.col("fair_prob"))
 
 
-@query("P15_watchlist", f"""with {SHARP} select tick_id, round(round((1/fair_prob)*1.03,4),3) as min_odds, case when market='moneyline' then 'Vainqueur / 1N2' else 'Total (plus/moins)' end as market_label
+@query("P15_watchlist", f"""with {SHARP} select tick_id, round((1/fair_prob)*1.03,6) as min_odds, case when market='moneyline' then 'Vainqueur / 1N2' else 'Total (plus/moins)' end as market_label
 from s where pin_margin <= 0.08 and 1/fair_prob >= 1.05 and market in ('moneyline','total')""", ("odds_ticks",))
 def p15(spark, sf):
     w = L.watchlist(sharp_ticks(spark, sf))
-    return w.select("tick_id", F.round(F.round(F.col("fair_odds") * 1.03, 4), 3).alias("min_odds"), "market_label")
+    return w.select("tick_id", r(F.col("fair_odds") * 1.03).alias("min_odds"), "market_label")
 
 
 @query("P16_props_table", """with p as (select p_partkey, p_name, case when p_partkey%3=0 then 'Total Goals' when p_partkey%3=1 then 'Total Points' else 'Mystery' end as st, case when p_partkey%2=0 then 'Over' else 'Under' end as selection from part)
@@ -330,9 +330,8 @@ def j10(spark, sf):
 select market_id, side, cast(start::date as varchar) as day, arg_max(tick_id, (ts, tick_id)) as tick_id, round(arg_max(odds, (ts, tick_id)),6) as odds from t where ts < start group by market_id, side, start""", ("odds_ticks",))
 def j12(spark, sf):
     t = view(spark, sf, "odds_ticks").withColumn("start", F.date_trunc("day", F.col("ts").cast("timestamp")) + F.expr("interval 18 hours")).withColumn("ts", F.col("ts").cast("timestamp"))
-    s = L.last_snapshot(t, ["market_id", "side", "start"], tie="tick_id") if False else t.where("ts < start").groupBy("market_id", "side", "start").agg(
-        F.max_by(F.struct("tick_id", "odds"), F.struct("ts", "tick_id")).alias("r"))
-    return s.select("market_id", "side", F.to_date("start").cast("string").alias("day"), "r.tick_id", r("r.odds").alias("odds"))
+    s = L.last_snapshot(t.select("market_id", "side", "start", "ts", "tick_id", "odds"), ["market_id", "side", "start"], tie="tick_id")
+    return s.select("market_id", "side", F.to_date("start").cast("string").alias("day"), "tick_id", r("odds").alias("odds"))
 
 
 @query("J16_L11_exact_settlement", f"""with b as (select match_id, home, maxh as odds, case when match_id%3=0 then 'H' when match_id%3=1 then 'D' else 'A' end as selection from matches), p as (select *, {sql_power(PSC)} as k from matches),
@@ -374,13 +373,16 @@ def w15(spark, sf):
     return L.drop_implausible(c).select("tick_id", r("ev").alias("ev"))
 
 
-@query("L1_find_value", f"""with k as (select match_books.*, {sql_power(['bfeh', 'bfed', 'bfea'])} as k from match_books where bfeh is not null), q as (select *, {', '.join(f"{p} as p{i}" for i, p in enumerate(sql_power_probs(['bfeh', 'bfed', 'bfea'], 'k')))} from k),
-l as ({' union all '.join(f"select match_id, '{o}' as selection, '{b}' as book, {b}{c} as odds, p{i} as p from q" for b in ('b365', 'bw') for i, (o, c) in enumerate(zip('HDA', 'hda')))}),
+_L1 = sql_power_probs(PS, "k")
+
+
+@query("L1_find_value", f"""with k as (select *, {sql_power(PS)} as k from matches), q as (select *, {_L1[0]} as p0, {_L1[1]} as p1, {_L1[2]} as p2 from k),
+l as ({' union all '.join(f"select match_id, '{o}' as selection, '{b}' as book, {b}{c} as odds, p{i} as p from q" for b in ('max', 'psc') for i, (o, c) in enumerate(zip('HDA', 'hda')))}),
 e as (select *, p*odds-1 as ev from l where odds is not null), s as (select *, row_number() over (partition by match_id order by ev desc, selection, book) as rn from e where ev >= 0.03 and ev <= 0.3 and odds <= 10)
-select match_id, selection, book, round(odds,6) as odds, round(ev,6) as ev, round(100*least(0.25*greatest(0,(p*odds-1)/(odds-1)),0.02),2) as stake_pct from s where rn=1""", ("match_books",))
+select match_id, selection, book, round(odds,6) as odds, round(ev,6) as ev, round(100*least(0.25*greatest(0,(p*odds-1)/(odds-1)),0.02),2) as stake_pct from s where rn=1""", ("matches",))
 def l1(spark, sf):
-    m = O.with_devig(view(spark, sf, "match_books").where("bfeh is not null"), ["bfeh", "bfed", "bfea"], ["p0", "p1", "p2"])
-    v = L.find_value(m, ["p0", "p1", "p2"], {"b365": ["b365h", "b365d", "b365a"], "bw": ["bwh", "bwd", "bwa"]}, ["match_id"])
+    m = O.with_devig(view(spark, sf, "matches"), PS, ["p0", "p1", "p2"])
+    v = L.find_value(m, ["p0", "p1", "p2"], {"max": ["maxh", "maxd", "maxa"], "psc": PSC}, ["match_id"])
     return v.select("match_id", "selection", "book", r("odds").alias("odds"), r("ev").alias("ev"), "stake_pct")
 
 
@@ -398,13 +400,13 @@ def l2(spark, sf):
 
 
 @query("L8_T5_merge_value_bets", """with a as (select concat('e', cast(market_id as varchar)) as event, book as market, cast(tick_id as varchar) as selection, odds, 1.04/odds+0.002*(tick_id%50)/odds as fair_prob, case when tick_id%4=0 then 0.09 else 0.02 end as pin_margin from odds_ticks),
-e as (select *, fair_prob*odds-1 as ev from a), g as (select *, row_number() over (partition by event, market order by ev desc, selection) as rn from e where ev between 0.03 and 0.3 and odds between 1.15 and 10 and pin_margin <= 0.08)
+e as (select *, round(fair_prob*odds-1,9) as ev from a), g as (select *, row_number() over (partition by event, market order by ev desc, selection) as rn from e where ev between 0.03 and 0.3 and odds between 1.15 and 10 and pin_margin <= 0.08)
 select event, market, selection, round(ev,6) as ev, round(100*least(0.25*greatest(0,(fair_prob*odds-1)/(odds-1)),0.02),2) as stake_pct from g where rn=1""", ("odds_ticks",))
 def l8(spark, sf):
     t = view(spark, sf, "odds_ticks")
     a = t.select(F.concat(F.lit("e"), "market_id").alias("event"), F.col("book").alias("market"), F.col("tick_id").cast("string").alias("selection"), "odds", "tick_id",
                  (1.04 / F.col("odds") + 0.002 * (F.col("tick_id") % 50) / F.col("odds")).alias("fair_prob"), F.when(F.col("tick_id") % 4 == 0, 0.09).otherwise(0.02).alias("pin_margin"))
-    a = a.withColumn("ev", F.round(F.col("fair_prob") * F.col("odds") - 1, 12))
+    a = a.withColumn("ev", F.round(F.col("fair_prob") * F.col("odds") - 1, 9))
     v = L.merge_value_bets([a.where("tick_id % 2 = 0").drop("tick_id"), a.where("tick_id % 2 = 1").drop("tick_id")])
     return v.select("event", "market", "selection", r("ev").alias("ev"), "stake_pct")
 
