@@ -249,8 +249,9 @@ def with_devig(df, odds_cols: list[str], prob_cols: list[str], method: str = "po
     weighed = [f"_w{i}" for i in range(n)]
     df = df.select(*keep, *[w.alias(h) for w, h in zip(weights, weighed)])
     total = _total([F.col(h) for h in weighed])
-    fields = [(F.col(h) / total).alias(c) for h, c in zip(weighed, prob_cols)]
-    fields += [(total / F.col(h)).alias(c) for h, c in zip(weighed, fair_cols or [])]
+    complete = reduce(lambda a, b: a & b, [col(c).isNotNull() for c in odds_cols])      # greatest/least skip nulls, so say it here
+    fields = [F.when(complete, F.col(h) / total).alias(c) for h, c in zip(weighed, prob_cols)]
+    fields += [F.when(complete, total / F.col(h)).alias(c) for h, c in zip(weighed, fair_cols or [])]
     if margin_col:
         fields.append((_total([1.0 / col(c) for c in odds_cols]) - 1.0).alias(margin_col))
     return df.select(*keep, F.explode_outer(F.array(F.struct(*fields))).alias("_f")).select(*keep, "_f.*")

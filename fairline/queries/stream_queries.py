@@ -150,7 +150,7 @@ def d1(spark, sf):
 
 
 @query("D3_score_cells", """with g as (select distinct 0.8+0.1*(match_id%13) as lh, 0.7+0.1*(match_id%11) as la from matches)
-select round(lh,3) as lh, round(la,3) as la, round(sum(exp(-lh-la+h*ln(lh)+a*ln(la)-lgamma(h+1)-lgamma(a+1))) filter (h>a),6) as w_home from g, (select unnest(range(0,11)) as h), (select unnest(range(0,11)) as a) group by g.lh, g.la""", ("matches",))
+select round(lh::double,3) as lh, round(la::double,3) as la, round(sum(exp(-lh-la+h*ln(lh)+a*ln(la)-lgamma(h+1)-lgamma(a+1))) filter (h>a),6) as w_home from g, (select unnest(range(0,11)) as h), (select unnest(range(0,11)) as a) group by g.lh, g.la""", ("matches",))
 def d3(spark, sf):
     rates = view(spark, sf, "matches").select((0.8 + 0.1 * (F.col("match_id") % 13)).alias("lh"), (0.7 + 0.1 * (F.col("match_id") % 11)).alias("la")).distinct()
     c = REG.score_cells(rates, ["lh", "la"])
@@ -198,12 +198,12 @@ def l4(spark, sf):
     return c.select("market_id", "pl", "ref", r("ev").alias("ev"), pub.alias("publish"))
 
 
-@query("J4_market_goals_to_players", """select game_id, player_id, case when home then 2.5+0.01*(game_id%50) else 2.2+0.01*(game_id%40) end as lam, round(1-exp(-(case when home then 2.5+0.01*(game_id%50) else 2.2+0.01*(game_id%40) end)*0.1),6) as p from player_games""", ("player_games",))
+@query("J4_market_goals_to_players", """select game_id, player_id, round(case when home then 2.5+0.01*(game_id%50) else 2.2+0.01*(game_id%40) end::double,6) as lam, round(1-exp(-(case when home then 2.5+0.01*(game_id%50) else 2.2+0.01*(game_id%40) end)*0.1),6) as p from player_games""", ("player_games",))
 def j4(spark, sf):
     g = view(spark, sf, "player_games")
     lam = g.select("game_id").distinct().withColumns({"lam_h": 2.5 + 0.01 * (F.col("game_id") % 50), "lam_a": 2.2 + 0.01 * (F.col("game_id") % 40)})
     j = g.join(lam, "game_id").withColumn("lam", F.when(F.col("home"), F.col("lam_h")).otherwise(F.col("lam_a")))
-    return j.select("game_id", "player_id", F.col("lam").cast("double").alias("lam"), r(S.p_score("lam", F.lit(0.1))).alias("p"))
+    return j.select("game_id", "player_id", r("lam").alias("lam"), r(S.p_score("lam", F.lit(0.1))).alias("p"))
 
 
 @query("L5_scorer_comparison", """with b as (select player_id, game_id, goals, shots, 0.05+0.01*(shots%40) as p, 1.5+0.5*(goals%2) as line_, 2+shots/3.0 as odds from player_games),

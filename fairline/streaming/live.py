@@ -64,7 +64,7 @@ class ClosingLine(StatefulProcessor):
         self.pick = handle.getValueState("pick", "odds double, detected timestamp, start timestamp")
         self.last = handle.getValueState("last", "fair double, ts timestamp")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             for kind, ts, start, price in pdf[["kind", "ts", "start", "price"]].itertuples(index=False):
                 if kind == "pick" and not self.pick.exists():
@@ -76,7 +76,7 @@ class ClosingLine(StatefulProcessor):
                         self.last.update((float(price), ts.to_pydatetime()))
         yield pd.DataFrame()
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         odds, detected, start = self.pick.get()
         clv = None
         if self.last.exists():
@@ -106,20 +106,20 @@ class EloState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ratings = handle.getMapState("ratings", "team string", "rating double")
 
-    def _get(self, team: str) -> float:
-        return float(self.ratings.getValue((team,))[0]) if self.ratings.containsKey((team,)) else self.first
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         from ..models.ratings import _margin_weight, win_expectancy
         batch = pd.concat(list(rows)).sort_values(["match_date", "match_id"])
-        out = []
+        known = {k[0]: float(v[0]) for k, v in self.ratings.iterator()}      # one row per team of the group
+        out, touched = [], set()
         for mid, h, a, gd in batch[["match_id", "home", "away", "gd"]].itertuples(index=False):
-            rh, ra = self._get(h), self._get(a)
+            rh, ra = known.get(h, self.first), known.get(a, self.first)
             p = win_expectancy(rh + self.hfa - ra)
             gain = self.k * _margin_weight(gd) * ((1.0 if gd > 0 else 0.5 if gd == 0 else 0.0) - p)
-            self.ratings.updateValue((h,), (rh + gain,))
-            self.ratings.updateValue((a,), (ra - gain,))
+            known[h], known[a] = rh + gain, ra - gain
+            touched |= {h, a}
             out.append((int(mid), rh, ra, p))
+        for t in touched:
+            self.ratings.updateValue((t,), (known[t],))
         yield pd.DataFrame(out, columns=["match_id", "elo_h", "elo_a", "elo_raw_ph"])
 
     def close(self) -> None:
