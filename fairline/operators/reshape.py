@@ -85,11 +85,12 @@ def select_value(df: DataFrame, min_ev: float = 0.03, max_ev: float = 1.0, min_o
 
 
 def best_bet(df: DataFrame, legs: Sequence[dict], keep: Sequence[str], min_ev: float, max_ev: float,
-             max_odds: float = 100.0, strict_min: bool = False) -> DataFrame:
+             max_odds: float = 100.0, strict_min: bool = False, match_key: Sequence[str] | None = None) -> DataFrame:
     """Best qualifying outcome of each match row, ties to the first selection name.
 
     For match tables with one row per match the pick is a row-level maximum, so "one bet per match"
-    needs neither an unpivot nor a shuffle.
+    needs neither an unpivot nor a shuffle. Where a match may be listed more than once, `match_key`
+    reduces the row-level picks further, to one per match.
     """
     with_close = any("close_fair_odds" in leg for leg in legs)
     names = sorted((leg["selection"] for leg in legs), reverse=True)
@@ -107,6 +108,8 @@ def best_bet(df: DataFrame, legs: Sequence[dict], keep: Sequence[str], min_ev: f
     best = F.explode_outer(F.array(F.greatest(*[entry(leg) for leg in legs])))     # fence against filter pushdown
     out = (df.select(*keep, best.alias("_b")).where("_b is not null")
            .select(*keep, "_b.selection", "_b.p", "_b.odds", "_b.won", *(["_b.close_fair_odds"] if with_close else []), "_b.ev"))
+    if match_key:
+        out = top_by(out, list(match_key), "ev", "selection")
     return out.withColumn("clv", F.col("odds") / F.col("close_fair_odds") - 1.0) if with_close else out
 
 

@@ -123,7 +123,7 @@ def bets_with_clv(spark, sf):
     m = R.add_labels(view(spark, sf, "matches"))
     m = O.with_devig(m, PS, ["sharp_ph", "sharp_pd", "sharp_pa"])
     m = O.with_devig(m, PSC, ["c_ph", "c_pd", "c_pa"], fair_cols=["fair_psc_h", "fair_psc_d", "fair_psc_a"])
-    return R.best_bet(m, R.three_way_legs("sharp", "max", "psc"), ["match_id", "match_date", "season", "country", "league"], 0.02, 0.30)
+    return R.best_bet(m, R.three_way_legs("sharp", "max", "psc"), ["match_id", "match_date", "season", "country", "league"], 0.02, 0.30, match_key=["match_id"])
 
 
 @query("A7_breakdowns", f"""with {BETS} select grouping(season)::int as all_seasons, grouping(country)::int as all_countries, season, country, {STATS}

@@ -35,7 +35,7 @@ def best_bets(spark, sf, keep=("match_id", "match_date", "season", "country", "h
     """One bet per match: best EV of the best price, in [2 %, 30 %]."""
     m = R.add_labels(view(spark, sf, "matches"))
     m = O.with_devig(m, PS, ["sharp_ph", "sharp_pd", "sharp_pa"])
-    return R.best_bet(m, R.three_way_legs("sharp", "max"), list(keep), 0.02, 0.30)
+    return R.best_bet(m, R.three_way_legs("sharp", "max"), list(keep), 0.02, 0.30, match_key=["match_id"])
 
 
 @query("FLAGSHIP_value_by_season", f"""with {CANDIDATES},
