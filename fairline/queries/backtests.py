@@ -25,7 +25,7 @@ def rounded(df, *keys, digits=6):
 
 @query("W7_one_bet_per_match", f"with {BETS} select match_id, selection, round(ev,6) as ev from b", ("matches",))
 def w7(spark, sf):
-    return R.top_by(value_bets(spark, sf), ["match_id"], "ev", "selection").select("match_id", "selection", r("ev").alias("ev"))
+    return R.top_by(value_bets(spark, sf), ["match_date", "match_id"], "ev", "selection").select("match_id", "selection", r("ev").alias("ev"))
 
 
 @query("A4_roi_stats", f"with {BETS} select {STATS} from b", ("matches",))
@@ -123,7 +123,7 @@ def bets_with_clv(spark, sf):
     m = R.add_labels(view(spark, sf, "matches"))
     m = O.with_devig(m, PS, ["sharp_ph", "sharp_pd", "sharp_pa"])
     m = O.with_devig(m, PSC, ["c_ph", "c_pd", "c_pa"], fair_cols=["fair_psc_h", "fair_psc_d", "fair_psc_a"])
-    return R.best_bet(m, R.three_way_legs("sharp", "max", "psc"), ["match_id", "match_date", "season", "country", "league"], 0.02, 0.30, match_key=["match_id"])
+    return R.best_bet(m, R.three_way_legs("sharp", "max", "psc"), ["match_id", "match_date", "season", "country", "league"], 0.02, 0.30, match_key=["match_date", "match_id"])
 
 
 @query("A7_breakdowns", f"""with {BETS} select grouping(season)::int as all_seasons, grouping(country)::int as all_countries, season, country, {STATS}

@@ -15,7 +15,7 @@ from .views import view
 PS, MAX, PSC = ["psh", "psd", "psa"], ["maxh", "maxd", "maxa"], ["psch", "pscd", "psca"]
 KP = sql_power(PS)
 PP = sql_power_probs(PS, "k")
-ONE_PER_MATCH = "row_number() over (partition by match_id order by ev desc, selection)"
+ONE_PER_MATCH = "row_number() over (partition by match_date, match_id order by ev desc, selection)"
 CANDIDATES = f"""p as (select *, {KP} as k from matches),
 q as (select *, {PP[0]} as p0, {PP[1]} as p1, {PP[2]} as p2 from p),
 c as (select match_id, match_date, season, country, home, away, 'H' as selection, p0 as p, maxh as odds, fthg>ftag as won from q
@@ -35,7 +35,7 @@ def best_bets(spark, sf, keep=("match_id", "match_date", "season", "country", "h
     """One bet per match: best EV of the best price, in [2 %, 30 %]."""
     m = R.add_labels(view(spark, sf, "matches"))
     m = O.with_devig(m, PS, ["sharp_ph", "sharp_pd", "sharp_pa"])
-    return R.best_bet(m, R.three_way_legs("sharp", "max"), list(keep), 0.02, 0.30, match_key=["match_id"])
+    return R.best_bet(m, R.three_way_legs("sharp", "max"), list(keep), 0.02, 0.30, match_key=["match_date", "match_id"])
 
 
 @query("FLAGSHIP_value_by_season", f"""with {CANDIDATES},
