@@ -113,8 +113,17 @@ def _needs(view: str) -> list[str]:
     return [n for _, n in _NAME.findall(VIEWS[view])]
 
 
+SPREAD_KEYS = {"lineitem": "l_partkey"}          # the table the heavy views read, and a column with many values
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table. A single unsplittable file would keep every core but one idle, so it is spread once;
+    data with at least as many splits as cores is read as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, SPREAD_KEYS[name])
+    return df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,6 +14,8 @@ def local_session(cpus: str = "*", app: str = "fairline", driver_memory: str = "
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
+             # HotSpot never compiles methods above 8000 bytes: let Spark split such stages instead
+             .config("spark.sql.codegen.hugeMethodLimit", "8000")
              .config("spark.ui.enabled", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
