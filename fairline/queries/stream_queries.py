@@ -158,12 +158,11 @@ def d3(spark, sf):
 
 
 # ------------------------------------------------------------------ name joins
-@query("J17_name_lookup", """with k as (select distinct l_orderkey%50 as g, concat('jean ', p_name, ' ', cast(l_partkey%5 as varchar)) as player, l_partkey as pid from lineitem join part on l_partkey=p_partkey),
+@query("J17_name_lookup", """with k as (select p_brand as g, concat('jean ', p_name, ' ', cast(p_partkey%5 as varchar)) as player, p_partkey as pid from part),
 u as (select g, player, count(distinct pid) as n, min(pid) as pid from k group by 1,2) select g, player as name, pid as player_id from u where n=1""")
 def j17(spark, sf):
     """Exact names only count when one player carries them; shared names are left unresolved."""
-    li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    k = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") % 50).alias("g"), F.concat(F.lit("jean "), "p_name", F.lit(" "), (F.col("l_partkey") % 5).cast("string")).alias("player"), F.col("l_partkey").alias("player_id")).distinct()
+    k = table(spark, sf, "part").select(F.col("p_brand").alias("g"), F.concat(F.lit("jean "), "p_name", F.lit(" "), (F.col("p_partkey") % 5).cast("string")).alias("player"), F.col("p_partkey").alias("player_id"))
     w = k.select("g", F.col("player").alias("name")).distinct()
     out = fuzzy.lookup_names(w, k, ["g"], use_ratio=False)
     exact = k.groupBy("g", F.col("player").alias("name")).agg(F.countDistinct("player_id").alias("n")).where("n = 1").select("g", "name")
