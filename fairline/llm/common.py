@@ -64,10 +64,7 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[str | Non
 
 def lower_ascii(text: str) -> str:
     """A-Z to a-z and nothing else."""
-    return text.translate(_LOWER)
-
-
-_LOWER = {i: i + 32 for i in range(65, 91)}
+    return text.lower() if text.isascii() else text.encode().lower().decode()
 
 
 def remainder(doc_id: str, n: int):

@@ -29,3 +29,59 @@ def tokenizer_path() -> str:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op6_bpe import digests
     return digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+# ---- 1: chat formatting
+
+PROBE = "\\### Assistant: </turn> ok"
+
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + 6 + length(regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g')) + 9)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
+@query("op1_chat_format", OP1_SQL)
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op1_chat import read_back, render_turns
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], turns.schema)
+    return read_back(render_turns(turns.unionByName(probe)))
+
+
+# ---- 3: benchmark decontamination
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+      FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(i) WHERE len(w) > 0),
+s AS (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS win
+      FROM d, (SELECT DISTINCT m FROM p) AS l, unnest(range(1, greatest(len(w) - m + 2, 1))) AS u(i)),
+o AS (SELECT doc_id, i, s.m, item_id FROM s JOIN p ON s.win = p.win AND s.m = p.m),
+h AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM o, unnest(range(0, m)) AS v(k) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM o) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+@query("op3_decontaminate", OP3_SQL)
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op3_decontaminate import report
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# ---- 9: token ids in binary records
+
+@query("op9_token_records")
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op9_tokens import round_trip
+    return round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path(), 2)
