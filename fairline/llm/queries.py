@@ -85,3 +85,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op9_tokens import round_trip
     return round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path(), 2)
+
+
+# ---- 10: toxicity
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op10_toxicity import report
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
