@@ -62,6 +62,17 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[str | Non
     return df.mapInArrow(run, df.schema)
 
 
+_HELD: dict = {}
+
+
+def once(key, make):
+    """What `make` gives, kept in this Python worker for later tasks with the same key; another key takes its place."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def lower_ascii(text: str) -> str:
     """A-Z to a-z and nothing else."""
     return text.lower() if text.isascii() else text.encode().lower().decode()

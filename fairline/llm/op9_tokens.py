@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .bpe import Cache, adjacency
-from .common import scratch, settle
+from .bpe import CACHE, adjacency
+from .common import once, scratch, settle
 
 #: Fixed value of the mask.
 MASK = 0xA282EAD8
@@ -71,21 +71,30 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
-        self.by_word = Cache(lambda word: self.whole(" " + word))
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.by_word: dict[str, bytes] = {}
         self.adjacent = adjacency()
 
-    def whole(self, text: str) -> bytes:
+    def bytes_of(self, ids: list[int]) -> bytes:
         import array
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array.array("H" if self.width == 2 else "I", ids).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.adjacent(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self.by_word.__getitem__, rest))
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text. Words that are new are encoded in one call of the library."""
+        cut = [None if not t or self.adjacent(t) else t.split(" ") for t in texts]
+        by = self.by_word
+        if len(by) > CACHE:
+            by.clear()
+        new = list({w for c in cut if c for w in c[1:]}.difference(by))
+        for at in range(0, len(new), 4096):
+            words = new[at:at + 4096]
+            for w, e in zip(words, self.batch([" " + w for w in words], add_special_tokens=False)):
+                by[w] = self.bytes_of(e.ids)
+        # first words have no space before them; texts with adjacent white space are encoded whole
+        rest = [c[0] if c else t or "" for c, t in zip(cut, texts)]
+        heads = [self.bytes_of(e.ids) for e in self.batch(rest, add_special_tokens=False)]
+        get = by.__getitem__
+        return [h + b"".join(map(get, c[1:])) if c else h for h, c in zip(heads, cut)]
 
 
 INDEX = "part int, file string, record bigint, offset bigint, size bigint, id bigint, n_tokens bigint"
@@ -98,7 +107,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
         arrow = to_arrow_schema(schema)
-        coder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        coder, part = once(("words", tokenizer), lambda: WordEncoder(tokenizer)), TaskContext.get().partitionId()
         end = end_id.to_bytes(coder.width, "little")
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
@@ -107,8 +116,8 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
         for batch in batches:
             out = out or fs.open_output_stream(f"{base}/{name}", buffer_size=1 << 20)
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = coder.encode(text) + end
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, ids in ((names[k + j], x + end) for k in range(0, len(texts), 256) for j, x in enumerate(coder.encode_all(texts[k:k + 256]))):
                 data = frame(struct.pack("<BBq", coder.width, i is not None, i or 0) + ids)
                 out.write(data)
                 rows.append((part, name, record, offset, len(data), i, len(ids) // coder.width))
