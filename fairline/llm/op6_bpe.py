@@ -9,7 +9,7 @@ import hashlib
 
 from pyspark.sql import DataFrame
 
-from .common import rows_pass
+from .common import once, rows_pass
 
 
 def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -17,7 +17,7 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def make():
         import numpy as np
         from .bpe import Backtracking
-        coder = Backtracking(tokenizer)
+        coder = once(("bpe", tokenizer), lambda: Backtracking(tokenizer))
         return lambda i, t: (i, np.frombuffer(coder.encode(t), "<u4").tolist())
     return rows_pass(df, [id_col, text_col], f"{id_col} {dict(df.dtypes)[id_col]}, ids array<int>", make)
 
@@ -27,7 +27,7 @@ def decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str =
     def make():
         import numpy as np
         from .bpe import Backtracking
-        coder = Backtracking(tokenizer)
+        coder = once(("bpe", tokenizer), lambda: Backtracking(tokenizer))
         return lambda i, x: (i, coder.decode(np.asarray(x or [], "<u4").tobytes()))
     return rows_pass(df, [id_col, ids_col], f"{id_col} {dict(df.dtypes)[id_col]}, text string", make)
 
@@ -36,7 +36,7 @@ def digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """Per row: number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them."""
     def make():
         from .bpe import Backtracking
-        coder = Backtracking(tokenizer)
+        coder = once(("bpe", tokenizer), lambda: Backtracking(tokenizer))
 
         def row(i, t):
             ids = coder.encode(t)

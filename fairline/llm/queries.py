@@ -93,3 +93,11 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op10_toxicity import report
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# ---- 7: language identification
+
+@query("op7_language")
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op7_language import report
+    return report(table(spark, sf_dir, "documents"))
