@@ -17,12 +17,13 @@ label is null teach nothing.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import remainder
+from .common import once, remainder
 
 BITS, FEATURES = 18, 58
 WORD = re.compile(r"[^\W\d_]+")
@@ -66,29 +67,34 @@ def word_features(words: list[str]):
     return out
 
 
-def marginals(emit, begins, trans):
+def marginals(emit, begins, trans, pairs: bool = False):
     """Label probabilities of each word, given scores emit (n, L), whether each word begins a text, and transition scores (L, L);
-    and the log of the normaliser of all texts together, and the sum of pair marginals within texts (L, L)."""
+    with `pairs` also the sum of pair probabilities within texts (L, L)."""
     import numpy as np
     n, L = emit.shape
     top = emit.max(1)
     e = np.exp(emit - top[:, None])
-    A = np.exp(trans)
-    flat = np.ones((L, L))                       # over a border nothing is carried
-    m = max(1, int(n ** 0.5))
+    A = np.exp(trans - trans.max())
+    m = max(1, int(n ** 0.5) // 2)
     B = -(-n // m)
     pad = B * m - n
     if pad:
         e = np.concatenate([e, np.ones((pad, L))])
         begins = np.concatenate([begins, np.ones(pad, bool)])
-    e, cut = e.reshape(B, m, L), begins.reshape(B, m)
-    steps = np.where(cut[:, :, None, None], flat, A)                  # (B, m, L, L): matrix into each word
+    # time first: what all blocks need at a step lies together
+    e = np.ascontiguousarray(e.reshape(B, m, L).swapaxes(0, 1))
+    cut = np.ascontiguousarray(begins.reshape(B, m).T)
+    some = cut.any(1)
 
-    # transfer of each block: product over its words of step matrix times emission
+    # transfer of each block: product over its words of step matrix times emission; over a border nothing is carried but the mass
     M = np.broadcast_to(np.eye(L), (B, L, L)).copy()
     for t in range(m):
-        M = np.einsum("bij,bjk->bik", M, steps[:, t]) * e[:, t, None, :]
-        M /= M.sum((1, 2), keepdims=True)
+        new = (M.reshape(B * L, L) @ A).reshape(B, L, L)
+        if some[t]:
+            new[cut[t]] = M[cut[t]].sum(2, keepdims=True)
+        M = new * e[t][:, None, :]
+        if t % 4 == 3:
+            M /= M.sum((1, 2), keepdims=True)
     into, out = np.empty((B, L)), np.empty((B, L))
     v = np.full(L, 1 / L)
     for b in range(B):
@@ -101,33 +107,38 @@ def marginals(emit, begins, trans):
         v = M[b] @ v
         v /= v.sum()
     # all blocks forward, then backward
-    alpha = np.empty((B, m, L))
-    scale = np.empty((B, m))
+    alpha, beta, scale = np.empty((m, B, L)), np.empty((m, B, L)), np.empty((m, B))
     a = into
     for t in range(m):
-        a = np.einsum("bi,bij->bj", a, steps[:, t]) * e[:, t]
-        scale[:, t] = a.sum(1)
-        a = a / scale[:, t, None]
-        alpha[:, t] = a
-    beta = np.empty((B, m, L))
+        new = a @ A
+        if some[t]:
+            new[cut[t]] = 1
+        new *= e[t]
+        scale[t] = new.sum(1)
+        a = alpha[t] = new / scale[t][:, None]
     z = out
     for t in range(m - 1, -1, -1):
-        beta[:, t] = z / z.sum(1, keepdims=True)
-        z = np.einsum("bij,bj->bi", steps[:, t], e[:, t] * beta[:, t])
-    alpha, beta, scale, e = (x.reshape((B * m,) + x.shape[2:]) for x in (alpha, beta, scale, e))
+        beta[t] = z / z.sum(1, keepdims=True)
+        x = e[t] * beta[t]
+        z = x @ A.T
+        if some[t]:
+            z[cut[t]] = x[cut[t]].sum(1, keepdims=True)
+    alpha, beta, e = (np.ascontiguousarray(x.swapaxes(0, 1)).reshape(B * m, L) for x in (alpha, beta, e))
     p = alpha * beta
     p /= p.sum(1, keepdims=True)
+    if not pairs:
+        return p[:n], None
     inner = np.flatnonzero(~begins)
     inner = inner[inner > 0]
     pair = alpha[inner - 1][:, :, None] * A[None] * (e[inner] * beta[inner])[:, None, :]
     pair /= pair.sum((1, 2), keepdims=True)
-    logz = float(np.log(scale[:n]).sum() + top.sum())
-    return p[:n], logz, pair.sum(0)
+    return p[:n], pair.sum(0)
 
 
 class Model:
     def __init__(self, labels: list[str], weights, trans):
         self.labels, self.weights, self.trans = labels, weights, trans
+        self.key = uuid.uuid4().hex
 
     def emissions(self, words: list[str]):
         """Scores (words, labels)."""
@@ -171,7 +182,7 @@ def train(texts: list[tuple[str, str]], epochs: int = 6, rate: float = 0.2, batc
             used, inverse = np.unique(words, return_inverse=True)
             rows = feats[used]
             E = W[rows].sum(1)
-            p, _, pair = marginals(E[inverse], begins, T)
+            p, pair = marginals(E[inverse], begins, T, True)
             d = -p
             d[np.arange(len(y)), y] += 1
             by_word = np.stack([np.bincount(inverse, d[:, k], len(used)) for k in range(L)], 1)
@@ -220,24 +231,19 @@ def labeller(model: Model | None):
             ids = np.concatenate(held)
             begins = np.zeros(len(ids), bool)
             begins[starts] = True
-            p, _, _ = marginals(state["table"][ids].astype(np.float64), begins, model.trans)
+            p, _ = marginals(state["table"][ids].astype(np.float64), begins, model.trans)
             for (total, _), s in zip(todo, np.add.reduceat(p, starts, axis=0)):
                 total += s
             todo.clear()
             held.clear()
-        totals, size = {}, 0
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            words = WORD.findall(text.lower())
-            if not words:
-                continue
-            totals[i] = np.zeros(L)
+        found = [(i, w) for i, w in ((i, WORD.findall(t.lower())) for i, t in enumerate(texts) if t) if w]
+        slots = state["slots"]
+        if new := set().union(*(w for _, w in found)).difference(slots):
+            learn(list(new))
+        totals, size = {i: np.zeros(L) for i, _ in found}, 0
+        for i, words in found:
             for at in range(0, len(words), RUN):                      # a text of more words is labelled in runs of that many
                 part = words[at:at + RUN]
-                slots = state["slots"]
-                if new := set(part).difference(slots):
-                    learn(list(new))
                 held.append(np.fromiter(map(slots.__getitem__, part), np.int64, len(part)))
                 todo.append((totals[i], len(part)))
                 size += len(part)
@@ -252,6 +258,11 @@ def labeller(model: Model | None):
     return label
 
 
+def worker_labeller(model: Model | None):
+    """The labeller of a model, with the words that it knows, kept for later tasks of the worker."""
+    return once(("language", model and model.key), lambda: labeller(model))
+
+
 def fit(docs: DataFrame, per_class: int = 300, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
     """Train on the driver on a sample of at most about per_class rows of each label."""
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(
@@ -271,7 +282,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     schema = docs.sparkSession.createDataFrame([], f"{id_col} {dict(docs.dtypes)[id_col]}, lang_pred string, score double").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = labeller(held.value)
+        label = worker_labeller(held.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -292,7 +303,7 @@ def drop_unclear(docs: DataFrame, fold: int = 3, least: float = 0.4) -> DataFram
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = labeller(held.value)
+        label = worker_labeller(held.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
