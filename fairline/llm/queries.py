@@ -101,3 +101,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op7_language import report
     return report(table(spark, sf_dir, "documents"))
+
+
+# ---- 5: document fingerprints
+
+@query("op5_winnowing")
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op5_winnow import report
+    return report(table(spark, sf_dir, "documents"))
