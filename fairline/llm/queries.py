@@ -128,3 +128,11 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM r
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op8_neardup import report
     return report(table(spark, sf_dir, "documents"))
+
+
+# ---- 4: language-model scoring
+
+@query("op4_lm_score")
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op4_lm import report
+    return report(table(spark, sf_dir, "documents"))
