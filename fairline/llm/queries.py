@@ -136,3 +136,20 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op4_lm import report
     return report(table(spark, sf_dir, "documents"))
+
+
+# ---- 2: WARC
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+b AS (SELECT d, max(page_id) AS best FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> best THEN best END AS refers_to
+FROM p LEFT JOIN b ON p.d = b.d"""
+
+
+@query("op2_warc", OP2_SQL)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op2_warc import round_trip
+    return round_trip(spark, table(spark, sf_dir, "pages"))
