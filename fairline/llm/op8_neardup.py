@@ -272,17 +272,20 @@ def report(docs: DataFrame) -> DataFrame:
 
 def drop_near(docs: DataFrame, num: int = 80, den: int = 100, near: float = 0.67) -> DataFrame:
     """One document of each component, with all its columns; of rows alike in id and text one stays. Documents without words all stay."""
+    import uuid
     from pyspark.sql import Window
-    keep = components(docs, num, den, near=near).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id"), F.col("digest").alias("_d")).distinct()
-    schema = docs.schema.add("_digest", "binary")
+    from pyspark.sql.types import BinaryType, StructType
+    tag = "_" + uuid.uuid4().hex                            # columns of the input may have any names
+    i, d, n, mark = (f"{tag}_{x}" for x in "idnm")
+    keep = components(docs, num, den, near=near).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(i), F.col("digest").alias(d)).distinct()
+    schema = StructType(list(docs.schema.fields)).add(mark, BinaryType())
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
             sets = (shingles(t, 5, cache) for t in batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary())], names=[*batch.schema.names, "_digest"])
-    marked = docs.mapInArrow(run, schema)
-    here = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_digest").eqNullSafe(F.col("_d")), "left_semi")
-    first = Window.partitionBy("doc_id", "_digest").orderBy("text")
-    return here.withColumn("_n", F.when(F.col("_digest").isNull(), 1).otherwise(F.row_number().over(first))).where("_n = 1").select(docs.columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary())], names=[*batch.schema.names, mark])
+    here = docs.mapInArrow(run, schema).join(keep, F.col("doc_id").eqNullSafe(F.col(i)) & F.col(mark).eqNullSafe(F.col(d)), "left_semi")
+    first = Window.partitionBy("doc_id", mark).orderBy("text")
+    return here.withColumn(n, F.when(F.col(mark).isNull(), 1).otherwise(F.row_number().over(first))).where(F.col(n) == 1).select(docs.columns)
