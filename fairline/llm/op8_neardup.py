@@ -158,46 +158,68 @@ def search(n: int, reach) -> list[tuple[int, int]]:
     return links
 
 
+def by_group(df: DataFrame, keys: list[str], value: str, links_of) -> DataFrame:
+    """Links that `links_of(digests, values)` finds in each group of rows with equal keys. Rows come sorted by key, so a task holds one
+    group at a time; there are very many small ones."""
+    schema = df.sparkSession.createDataFrame([], LINKS).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+        arrow, out = to_arrow_schema(schema), []
+        key, digests, values = None, [], []
+
+        def close():
+            if len(digests) > 1:
+                order = sorted(range(len(digests)), key=digests.__getitem__)
+                d = [digests[k] for k in order]
+                out.extend((d[x], d[y]) for x, y in links_of([values[k] for k in order]))
+        for batch in batches:
+            for *k, digest, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    close()
+                    key, digests, values = k, [], []
+                digests.append(digest)
+                values.append(v)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], schema=arrow)
+                out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], schema=arrow)
+    return df.select(*keys, "digest", value).repartition(*map(F.col, keys)).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def sketch_links(near: float):
-    def run(pdf):
+    #: the ones in the XOR that an estimate of `near` allows
+    most = max(k for k in range(BITS // 2) if likeness(k) >= near)
+
+    def links(sketches: list[bytes]):
         import numpy as np
-        import pandas as pd
-        pdf = pdf.sort_values("digest", ignore_index=True)
-        s = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), BITS // 64)
-        # the ones that an estimate of `near` allows
-        most = max(k for k in range(BITS // 2) if likeness(k) >= near)
-        links = search(len(pdf), lambda x, open_: np.bitwise_count(s[open_] ^ s[x]).sum(1) <= most)
-        d = pdf["digest"]
-        return pd.DataFrame({"a": [d[x] for x, _ in links], "b": [d[y] for _, y in links]})
-    return run
+        s = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), BITS // 64)
+        return search(len(s), lambda x, open_: np.bitwise_count(s[open_] ^ s[x]).sum(1) <= most)
+    return links
 
 
 def exact_links(num: int, den: int):
     """Links of sets with den * intersection >= num * union."""
-    def run(pdf):
+    def links(sets: list[bytes]):
         import numpy as np
-        import pandas as pd
-        pdf = pdf.sort_values("digest", ignore_index=True)
-        size = np.array([len(x) // 8 for x in pdf["hashes"]])
+        size = np.array([len(x) // 8 for x in sets])
         edges = np.concatenate([[0], np.cumsum(size)])
         # hashes as numbers of a common dictionary, and for each number the sets that hold it
-        flat = np.frombuffer(b"".join(pdf["hashes"]), np.uint64)
-        number = np.unique(flat, return_inverse=True)[1].ravel()
-        owner = np.repeat(np.arange(len(pdf)), size)
+        number = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)[1].ravel()
         by = np.argsort(number, kind="stable")
         first = np.searchsorted(number[by], np.arange(number.max() + 2))
-        holders = owner[by]
+        holders = np.repeat(np.arange(len(sets)), size)[by]
 
         def reach(x, open_):
             mine = number[edges[x]:edges[x + 1]]
             lengths = first[mine + 1] - first[mine]
             at = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-            both = np.bincount(holders[at], minlength=len(pdf))[open_]
+            both = np.bincount(holders[at], minlength=len(sets))[open_]
             return den * both >= num * (size[open_] + size[x] - both)
-        links = search(len(pdf), reach)
-        d = pdf["digest"]
-        return pd.DataFrame({"a": [d[x] for x, _ in links], "b": [d[y] for _, y in links]})
-    return run
+        return search(len(sets), reach)
+    return links
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -251,12 +273,12 @@ def components(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, near:
     met = one.select(F.explode("bands").alias("band"), "digest")
     met = settle(met.join(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band", "left_semi"), "met")
     tasks = in_blocks(met, "band", block).join(one.select("digest", "sketch"), "digest")
-    rough = tasks.groupBy("band", "_a", "_b").applyInPandas(sketch_links(near), LINKS)
+    rough = by_group(tasks, ["band", "_a", "_b"], "sketch", sketch_links(near))
     group = connected(rough)
     wanted = settle(group.join(one.select(F.col("digest").alias("node"), "rep"), "node").select(F.col("node").alias("digest"), F.col("root").alias("grp"), "rep"), "wanted")
     sets = needed_sets(docs, wanted, k, id_col, text_col)
     tasks = in_blocks(wanted.select("digest", "grp").join(sets, "digest"), "grp", block)
-    exact = tasks.groupBy("grp", "_a", "_b").applyInPandas(exact_links(num, den), LINKS)
+    exact = by_group(tasks, ["grp", "_a", "_b"], "hashes", exact_links(num, den))
     comp = connected(exact)
     least = comp.join(classes, F.col("node") == F.col("digest")).groupBy("root").agg(F.min("rep").alias("component_id"))
     of = comp.join(least, "root").select(F.col("node").alias("_d"), "component_id")
