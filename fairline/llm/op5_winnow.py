@@ -84,21 +84,31 @@ def next_ids(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def report(docs: DataFrame, k: int = 5, w: int = 8) -> DataFrame:
-    """Fingerprints of each text, of its edited text and of the next document, and how alike they are."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    next_of = next_ids(docs)
-    # one text an id: the smallest
-    heads = texts.groupBy(F.col("doc_id").alias("j")).agg(F.min("text").alias("next_text"))
-    here = texts.join(next_of, texts["doc_id"].eqNullSafe(next_of["i"])).drop("i")
-    heads = heads.withColumnRenamed("j", "n")
-    here = here.join(heads, F.col("j").eqNullSafe(F.col("n"))).withColumn("n_chars", F.length("text").cast("bigint")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.col("half")))
-    row = here.select("doc_id", "n_chars", F.transform(F.array(F.struct(F.col("text").alias("a"), edited.alias("b"), F.col("next_text").alias("c"))), lambda s: F.struct(
-        F.sha2(s["b"].cast("binary"), 256).alias("edited_sha256"), chosen(s["a"], k, w).alias("a"), chosen(s["b"], k, w).alias("b"), chosen(s["c"], k, w).alias("c"))).alias("s"))
+    """Fingerprints of each text, of its edited text and of the next document, and how alike they are.
+
+    Texts are dealt by id once, for both uses. To the document before it a text sends only its chosen hashes and as many code points
+    as the longest text of that id replaces.
+    """
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    base = docs.select(key("doc_id").alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    longest = docs.groupBy(key("doc_id").alias("k")).agg(F.floor(F.max(F.length(F.coalesce("text", F.lit("")))) / 2).cast("int").alias("most"))
+    pairs = next_ids(docs).select(key("i").alias("before"), key("j").alias("at"))
+    pairs = pairs.join(longest, F.col("before") == F.col("k")).drop("k")
+    # one text an id: the smallest. A count, not row_number(): Spark would cut down that one before its shuffle, which then is another
+    # than that of the join below
+    order = Window.partitionBy("k").orderBy("text", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    heads = base.withColumn("n", F.count("*").over(order)).where("n = 1")
+    sent = heads.join(pairs, F.col("k") == F.col("at")).select("before", F.substring(F.col("text"), F.lit(1), F.col("most")).alias("start"), F.array_distinct(F.transform(chosen(F.col("text"), k, w), hash_of)).alias("c"))
+    here = base.join(sent, F.col("k") == F.col("before")).withColumn("n_chars", F.length("text").cast("bigint")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")), F.substring(F.col("start"), F.lit(1), F.col("half")))
+    # transforms of one-row arrays hold each step, so that none is computed once more for each mention
+    row = here.select("doc_id", "n_chars", F.transform(F.array(F.struct(F.col("text").alias("a"), edited.alias("b"), F.col("c"))), lambda s: F.struct(
+        F.sha2(s["b"].cast("binary"), 256).alias("edited_sha256"), chosen(s["a"], k, w).alias("a"), chosen(s["b"], k, w).alias("b"), s["c"].alias("c"))).alias("s"))
     out = row.select("doc_id", "n_chars", F.transform("s", lambda s: F.struct(
         s["edited_sha256"].alias("edited_sha256"), written(s["a"]).alias("fingerprint"), written(s["b"]).alias("edited_fingerprint"),
-        F.array_distinct(F.transform(s["a"], hash_of)).alias("a"), F.array_distinct(F.transform(s["b"], hash_of)).alias("b"), F.array_distinct(F.transform(s["c"], hash_of)).alias("c"))).alias("s"))
+        F.array_distinct(F.transform(s["a"], hash_of)).alias("a"), F.array_distinct(F.transform(s["b"], hash_of)).alias("b"), s["c"].alias("c"))).alias("s"))
     out = out.select("doc_id", "n_chars", F.transform("s", lambda s: F.struct(
         s["edited_sha256"].alias("edited_sha256"), s["fingerprint"].alias("fingerprint"), s["edited_fingerprint"].alias("edited_fingerprint"),
         likeness(s["a"], s["b"]).alias("near_edited"), likeness(s["a"], s["c"]).alias("near_next"))).alias("s"))
+    # not inline(): from that Spark would infer a filter, and compute all once more for it
     return out.select("doc_id", "n_chars", F.inline_outer("s"))
