@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .bpe import CACHE, adjacency
+from .bpe import CACHE, PIECES, adjacency, byte_letters
 from .common import once, scratch, settle
 
 #: Fixed value of the mask.
@@ -62,9 +62,10 @@ def file_system(path: str):
 
 
 class WordEncoder:
-    """The tokenizers library, called once for each text between spaces where that is exact."""
+    """The tokenizers library for a byte-level BPE file, called once for each new piece of text where that is exact."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -73,28 +74,44 @@ class WordEncoder:
         self.kind = "<u2" if self.width == 2 else "<u4"
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.by_word: dict[str, bytes] = {}
+        self.by_piece: dict[str, bytes] = {}
+        self.pieces = regex.compile(PIECES).findall
+        self.letters = {b: c for c, b in byte_letters().items()}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(map(regex.escape, added))).search if added else None
         self.adjacent = adjacency()
 
     def bytes_of(self, ids: list[int]) -> bytes:
         import array
         return array.array("H" if self.width == 2 else "I", ids).tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Ids of words with a space before them: cut into pieces as the tokenizer does, each new piece through the library's model."""
+        by_piece, by_word, tokenize, letters = self.by_piece, self.by_word, self.tokenizer.model.tokenize, self.letters
+        if len(by_piece) > CACHE:
+            by_piece.clear()
+        for w in words:
+            if self.special is not None and self.special(w):
+                by_word[w] = self.bytes_of(self.tokenizer.encode(" " + w, add_special_tokens=False).ids)
+                continue
+            out = []
+            for x in self.pieces(" " + w):
+                if (ids := by_piece.get(x)) is None:
+                    ids = by_piece[x] = self.bytes_of([t.id for t in tokenize(x.encode().decode("latin-1").translate(letters))])
+                out.append(ids)
+            by_word[w] = b"".join(out) if len(out) > 1 else out[0]
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text. Words that are new are encoded in one call of the library."""
-        cut = [None if not t or self.adjacent(t) else t.split(" ") for t in texts]
+        """Ids of each text. First words have no space before them, and texts with adjacent white space are encoded whole."""
+        cut = [[] if not t or self.adjacent(t) else t.split(" ") for t in texts]
+        rest = [c.pop(0) if c else t or "" for c, t in zip(cut, texts)]
         by = self.by_word
         if len(by) > CACHE:
             by.clear()
-        new = list({w for c in cut if c for w in c[1:]}.difference(by))
-        for at in range(0, len(new), 4096):
-            words = new[at:at + 4096]
-            for w, e in zip(words, self.batch([" " + w for w in words], add_special_tokens=False)):
-                by[w] = self.bytes_of(e.ids)
-        # first words have no space before them; texts with adjacent white space are encoded whole
-        rest = [c[0] if c else t or "" for c, t in zip(cut, texts)]
+        self.learn(list(set().union(*cut).difference(by)))
         heads = [self.bytes_of(e.ids) for e in self.batch(rest, add_special_tokens=False)]
         get = by.__getitem__
-        return [h + b"".join(map(get, c[1:])) if c else h for h, c in zip(heads, cut)]
+        return [h + b"".join(map(get, c)) for h, c in zip(heads, cut)]
 
 
 INDEX = "part int, file string, record bigint, offset bigint, size bigint, id bigint, n_tokens bigint"
