@@ -1,6 +1,7 @@
 """Bet-set statistics, bootstrap intervals, calibration and model score tables."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import score as S
 
-# Cumulative Poisson(1) probabilities, P(N <= 0) .. P(N <= 7).
-POISSON1_CDF = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
+# Cumulative Poisson(1) probabilities, P(N <= 0) .. P(N <= 12); beyond lies less than one draw of 32 bits.
+POISSON1_CDF = tuple(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(13))
 
 
 def unit_pnl() -> Column:
@@ -47,7 +48,7 @@ def bootstrap_roi(df: DataFrame, keys: Sequence[str], row_id: Column, replicates
     """Percentile interval of ROI and share of replicates at or below zero.
 
     Poisson bootstrap: every row (or block) draws its own Poisson(1) count per replicate from an
-    md5 digest, eight replicates per digest, so tasks need no shared random state and re-runs after
+    md5 digest, four replicates of 32 bits per digest, so tasks need no shared random state and re-runs after
     a lost executor repeat the same draws. Replicate sums are combined map-side: what is shuffled
     is tasks x keys x replicates, never rows x replicates. With `block`, rows are first summed per
     block and blocks are resampled whole.
@@ -59,12 +60,12 @@ def bootstrap_roi(df: DataFrame, keys: Sequence[str], row_id: Column, replicates
     else:
         base = (df.groupBy(*keys, block.alias("_b")).agg(F.sum(stake).alias("_s"), F.sum(pnl).alias("_g"))
                 .select(*keys, F.col("_b").cast("string").alias("_id"), "_s", "_g"))
-    digests = (replicates + 7) // 8
+    digests = (replicates + 3) // 4
     drawn = base.select(*keys, "_s", "_g", "_id", F.explode(F.sequence(F.lit(0), F.lit(digests - 1))).alias("_d"))
     drawn = drawn.select(*keys, "_s", "_g", "_d", F.md5(F.concat_ws("|", "_id", "_d")).alias("_h"))
     drawn = drawn.select(*keys, "_s", "_g", "_d", F.posexplode(F.array(
-        *[F.conv(F.substring("_h", 1 + 4 * i, 4), 16, 10).cast("double") / 65536.0 for i in range(8)])).alias("_i", "_u"))
-    drawn = drawn.select(*keys, "_s", "_g", (F.col("_d") * 8 + F.col("_i")).alias("_rep"),
+        *[F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("double") / 4294967296.0 for i in range(4)])).alias("_i", "_u"))
+    drawn = drawn.select(*keys, "_s", "_g", (F.col("_d") * 4 + F.col("_i")).alias("_rep"),
                          poisson_weight(F.col("_u")).alias("_w")).where(f"_w > 0 and _rep < {replicates}")
     reps = drawn.groupBy(*keys, "_rep").agg((F.sum(F.col("_w") * F.col("_g")) / F.sum(F.col("_w") * F.col("_s"))).alias("_roi"))
     return reps.groupBy(*keys).agg(F.percentile("_roi", F.lit(0.025)).alias("roi_low"),

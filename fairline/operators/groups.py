@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+STEP = 300.0
+
+
 def attach_totals(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Aggregate per key (combined map-side) and join the result back.
 
@@ -18,11 +21,17 @@ def attach_totals(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFra
 
 
 def softmax_share(df: DataFrame, keys: Sequence[str], eta: Column, out: str = "share") -> DataFrame:
-    """exp(eta) over its group total. Linear predictors are sums of a few logs, far below overflow;
-    the clip only guards against corrupt rows."""
-    e = F.exp(F.greatest(F.lit(-600.0), F.least(F.lit(600.0), eta)))
-    tmp = df.withColumn("_e", e)
-    return (attach_totals(tmp, keys, _z=F.sum("_e")).withColumn(out, F.col("_e") / F.col("_z")).drop("_e", "_z"))
+    """exp(eta) over its group total, for predictors of any size.
+
+    Sums are taken per (key, level of eta) from the level's foot, and what counts is the highest level and the one below: anything
+    lower is less than exp(-STEP) of the total. So one shuffle of partial sums does, and no exponent overflows.
+    """
+    tmp = df.withColumn("_eta", eta).withColumn("_level", F.floor(F.col("_eta") / STEP))
+    levels = tmp.groupBy(*keys, "_level").agg(F.sum(F.exp(F.col("_eta") - STEP * F.col("_level"))).alias("_s"))
+    two = levels.groupBy(*keys).agg(F.max(F.struct("_level", "_s")).alias("_top"), F.collect_list(F.struct("_level", "_s")).alias("_all"))
+    below = F.aggregate(F.filter("_all", lambda x: x["_level"] == F.col("_top._level") - 1), F.lit(0.0), lambda a, x: a + x["_s"])
+    z = two.select(*keys, F.col("_top._level").alias("_foot"), (F.col("_top._s") + F.exp(F.lit(-STEP)) * below).alias("_z"))
+    return tmp.join(z, list(keys)).withColumn(out, F.exp(F.col("_eta") - STEP * F.col("_foot")) / F.col("_z")).drop("_eta", "_level", "_foot", "_z")
 
 
 def proportional_share(df: DataFrame, keys: Sequence[str], weight: Column, out: str = "share") -> DataFrame:

@@ -15,7 +15,6 @@ from ..operators import scans
 DEV = (2012, 2018)
 TEST = (2019, 2026)
 MAX_EV = 0.30
-MAX_CONFIGS = 10_000      # a strategy grid is written by hand; anything larger is refused, not broadcast
 
 
 def period_of(season: Column, dev: tuple[int, int] = DEV, test: tuple[int, int] = TEST) -> Column:
@@ -23,13 +22,11 @@ def period_of(season: Column, dev: tuple[int, int] = DEV, test: tuple[int, int]
 
 
 def config_table(spark: SparkSession, configs: Sequence[dict]) -> DataFrame:
-    """Strategy settings as a table. The list length is known here, so its broadcast is bounded."""
-    if len(configs) > MAX_CONFIGS:
-        raise ValueError(f"{len(configs)} configurations; split the grid into parts of {MAX_CONFIGS}")
+    """Strategy settings as a table; how it is joined is the optimizer's choice by its size."""
     rows = [(i, c["family"], c["prob"], c["book"], float(c["min_ev"]), float(c.get("max_odds", 100.0)))
             for i, c in enumerate(configs)]
-    return F.broadcast(spark.createDataFrame(
-        rows, "config_id int, family string, prob string, book string, min_ev double, max_odds double"))
+    return spark.createDataFrame(
+        rows, "config_id int, family string, prob string, book string, min_ev double, max_odds double")
 
 
 def priced_outcomes(df: DataFrame, probs: dict[str, Sequence[str]], books: dict[str, Sequence[str]],

@@ -159,7 +159,10 @@ def upsert_picks(history: DataFrame, picks: DataFrame, fair_ticks: DataFrame, no
     history/picks: PICK, start, odds, detected_at, fair_odds_at_pick, market_key; fair_ticks: market_key, selection, ts, fair_odds.
     The latest fair price per pick is a max_by over ticks strictly before the start and after detection.
     """
-    fresh = picks.join(history.select(*PICK), PICK, "left_anti")
+    # of several picks of one key the first counts
+    rest = [c for c in picks.columns if c not in PICK]
+    first = picks.groupBy(*PICK).agg(F.min_by(F.struct(*rest), F.struct("detected_at", "odds")).alias("r")).select(*PICK, "r.*")
+    fresh = first.join(history.select(*PICK), PICK, "left_anti")
     led = history.unionByName(fresh, allowMissingColumns=True)
     t = led.select(*PICK, "start", "detected_at", "market_key").join(fair_ticks, ["market_key", "selection"])
     t = t.where((F.col("ts") < F.col("start")) & (F.col("ts") > F.col("detected_at")) & (F.col("ts") <= now))
@@ -257,15 +260,16 @@ def price_labels(boosts: DataFrame, direct: Column, combo: Column, grid: Column)
                                "verdict": F.when(p.isNull(), "not evaluable").when(ev >= F.when(sharp, 0.03).otherwise(0.08), "play").when(ev >= 0, "marginal").otherwise("avoid")})
 
 
-def find_events_in_text(boosts: DataFrame, events: DataFrame, min_score: float = 1.5, use_ratio: bool = True) -> DataFrame:
-    """Event a free text is about: best word-run similarity of both teams, on the same day.
+def find_events_in_text(boosts: DataFrame, events: DataFrame, min_score: float = 1.5) -> DataFrame:
+    """Event a free text is about: best word-run similarity of both teams, on the same day. As no similarity exceeds 1, each
+    team needs at least `min_score` - 1.
 
     boosts(boost_id, day, text), events(event, day, home, away).
     """
     from ..functions.text import countries_to_english, word_grams
     g = boosts.select("boost_id", "day", F.explode(word_grams(countries_to_english("text"))).alias("w")).withColumn("n", norm_name("w")).select("boost_id", "day", "n").distinct()
     e = events.select("event", "day", norm_name("home").alias("h"), norm_name("away").alias("a"))
-    sims = fuzzy.similar_names(g.select("day", F.col("n").alias("name")), e.select("day", F.explode(F.array("h", "a")).alias("name")), ["day"], 2 / 3, use_ratio)
+    sims = fuzzy.similar_names(g.select("day", F.col("n").alias("name")), e.select("day", F.explode(F.array("h", "a")).alias("name")), ["day"], min_score - 1)
     hit = g.join(sims.withColumnRenamed("l", "n"), "n").groupBy("boost_id", "day", "r").agg(F.max("sim").alias("sim"))
     x = e.join(hit.select("boost_id", "day", F.col("r").alias("h"), F.col("sim").alias("_h")), ["day", "h"]).join(hit.select("boost_id", "day", F.col("r").alias("a"), F.col("sim").alias("_a")), ["boost_id", "day", "a"])
     x = x.withColumn("score", F.col("_h") + F.col("_a")).where(F.col("score") >= min_score)

@@ -89,23 +89,23 @@ _cdf = " ".join(f"when u < {c} then {k}" for k, c in enumerate(E.POISSON1_CDF))
 
 
 def _boot_sql(keys, base, reps):
-    return f"""bd as (select {keys}, s, g, id, unnest(range(0,{(reps + 7) // 8})) as d from ({base})),
+    return f"""bd as (select {keys}, s, g, id, unnest(range(0,{(reps + 3) // 4})) as d from ({base})),
 bh as (select {keys}, s, g, d, md5(concat(id, '|', d)) as h from bd),
-bu as (select {keys}, s, g, d*8+i as rep, cast(('0x' || substr(h, 1+4*i, 4)) as uinteger)/65536.0::double as u from (select *, unnest(range(0,8)) as i from bh)),
+bu as (select {keys}, s, g, d*4+i as rep, cast(('0x' || substr(h, 1+8*i, 8)) as ubigint)/4294967296.0::double as u from (select *, unnest(range(0,4)) as i from bh)),
 bp as (select {keys}, s, g, rep, case {_cdf} else {len(E.POISSON1_CDF)} end as w from bu where rep < {reps}),
 bq as (select {keys}, rep, sum(w*g)/sum(w*s) as roi from bp where w > 0 group by {keys}, rep)
 select {keys}, round(quantile_cont(roi, 0.025),6) as roi_low, round(quantile_cont(roi, 0.975),6) as roi_high,
  round(avg(case when roi <= 0 then 1.0 else 0.0 end),6) as p_roi_le0 from bq group by {keys}"""
 
 
-@query("A5_bootstrap_roi", f"with {BETS}, {_boot_sql('season', f'select season, match_id as id, 1.0::double as s, {PNL} as g from b', 40)}", ("matches",))
+@query("A5_bootstrap_roi", f"with {BETS}, {_boot_sql('season', f'select season, match_id as id, 1.0::double as s, {PNL} as g from b', 1000)}", ("matches",))
 def a5(spark, sf):
-    return rounded(E.bootstrap_roi(best_bets(spark, sf), ["season"], F.col("match_id"), 40), "season")
+    return rounded(E.bootstrap_roi(best_bets(spark, sf), ["season"], F.col("match_id"), 1000), "season")
 
 
-@query("A5_block_bootstrap_roi", f"""with {BETS}, {_boot_sql('season', f"select season, cast(match_date as varchar) as id, count(*)::double as s, sum({PNL}) as g from b group by 1, 2", 200)}""", ("matches",))
+@query("A5_block_bootstrap_roi", f"""with {BETS}, {_boot_sql('season', f"select season, cast(match_date as varchar) as id, count(*)::double as s, sum({PNL}) as g from b group by 1, 2", 1000)}""", ("matches",))
 def a5b(spark, sf):
-    return rounded(E.bootstrap_roi(best_bets(spark, sf), ["season"], F.col("match_id"), 200, block=F.col("match_date")), "season")
+    return rounded(E.bootstrap_roi(best_bets(spark, sf), ["season"], F.col("match_id"), 1000, block=F.col("match_date")), "season")
 
 
 @query("A6_bet_summary", f"""with {BETS}, c2 as (select b.*, {sql_power(PSC)} as k2, m.psch, m.pscd, m.psca from b join matches m using (match_id)),
@@ -440,7 +440,7 @@ def t4(spark, sf):
     return b.select("match_id", F.col("match_date").cast("string").alias("match_date"), "selection", r("ev").alias("ev"))
 
 
-@query("T3_main_total_line", """with t as (select match_id, l, 1/(1+exp((l-2.6-0.01*(match_id%37))*1.1)) as p from matches, (values (1.5::double),(2.5::double),(3.5::double)) v(l))
+@query("T3_main_total_line", """with t as (select match_id, l, 1/(1+exp((l-2.6-0.01*(match_id%37)::int)*1.1)) as p from matches, (values (1.5::double),(2.5::double),(3.5::double)) v(l))
 select match_id, arg_min(l, (abs(p-0.5), l)) as main_line, round(arg_min(p, (abs(p-0.5), l)),6) as p_over from t group by match_id""", ("matches",))
 def t3(spark, sf):
     m = view(spark, sf, "matches").select("match_id", F.explode(F.array(*[F.lit(x) for x in (1.5, 2.5, 3.5)])).alias("l"))

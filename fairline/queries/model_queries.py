@@ -145,7 +145,7 @@ def m24(spark, sf):
 _pm = "exp(-{l}+{k}*ln({l})-lgamma({k}+1))"
 
 
-@query("M10_score_probabilities", f"""with g as (select match_id, 0.6+0.02*(match_id%89) as lam, 0.5+0.015*(match_id%97) as mu, -0.1+0.002*(match_id%83) as rho from matches),
+@query("M10_score_probabilities", f"""with g as (select match_id, 0.6+0.02*(match_id%89)::int as lam, 0.5+0.015*(match_id%97)::int as mu, -0.1+0.002*(match_id%83)::int as rho from matches),
 d as (select distinct lam, mu, rho from g),
 c as (select lam, mu, rho, h, a, {_pm.format(l='lam', k='h')}*{_pm.format(l='mu', k='a')}*(case when h=0 and a=0 then greatest(1-lam*mu*rho,1e-10) when h=0 and a=1 then 1+lam*rho
  when h=1 and a=0 then 1+mu*rho when h=1 and a=1 then 1-rho else 1 end) as p from d, (select unnest(range(0,11)) as h), (select unnest(range(0,11)) as a)),
@@ -159,7 +159,7 @@ def m10(spark, sf):
 
 
 _mp = sql_power_probs(PS, "k")
-_MKT = f"p as (select match_id, {_mp[0]} as ph, {_mp[1]} as pd, {_mp[2]} as pa, 0.42+0.004*(match_id%29) as po from (select *, {sql_power(PS)} as k from matches))"
+_MKT = f"p as (select match_id, {_mp[0]} as ph, {_mp[1]} as pd, {_mp[2]} as pa, 0.42+0.004*(match_id%29)::int as po from (select *, {sql_power(PS)} as k from matches))"
 
 
 def market(spark, sf):
@@ -192,7 +192,7 @@ def fitted_grid(spark, sf):
     return m.select("match_id", "ph", "pd", "over25", "g.*")
 
 
-_GRID = f"""g as (select match_id, 0.8+0.1*(match_id%13) as lam, 0.7+0.1*(match_id%11) as mu from matches), d as (select distinct lam, mu from g),
+_GRID = f"""g as (select match_id, 0.8+0.1*(match_id%13)::int as lam, 0.7+0.1*(match_id%11)::int as mu from matches), d as (select distinct lam, mu from g),
 c as (select lam, mu, h, a, {_pm.format(l='lam', k='h')}*{_pm.format(l='mu', k='a')}*(case when h=0 and a=0 then 1+0.05*lam*mu when h=0 and a=1 then 1-0.05*lam when h=1 and a=0 then 1-0.05*mu when h=1 and a=1 then 1.05 else 1 end) as p
  from d, (select unnest(range(0,11)) as h), (select unnest(range(0,11)) as a))"""
 

@@ -149,7 +149,7 @@ def d1(spark, sf):
     return spark.sql("select match_id, round(ev(p, maxh), 6) as ev, round(kelly(p, maxh), 6) as kelly from (select match_id, maxh, devig_multiplicative(array(psh, psd, psa))[0] as p from {m})", m=m)
 
 
-@query("D3_score_cells", """with g as (select distinct 0.8+0.1*(match_id%13) as lh, 0.7+0.1*(match_id%11) as la from matches)
+@query("D3_score_cells", """with g as (select distinct 0.8+0.1*(match_id%13)::int as lh, 0.7+0.1*(match_id%11)::int as la from matches)
 select round(lh::double,3) as lh, round(la::double,3) as la, round(sum(exp(-lh-la+h*ln(lh)+a*ln(la)-lgamma(h+1)-lgamma(a+1))) filter (h>a),6) as w_home from g, (select unnest(range(0,11)) as h), (select unnest(range(0,11)) as a) group by g.lh, g.la""", ("matches",))
 def d3(spark, sf):
     rates = view(spark, sf, "matches").select((0.8 + 0.1 * (F.col("match_id") % 13)).alias("lh"), (0.7 + 0.1 * (F.col("match_id") % 11)).alias("la")).distinct()
@@ -164,9 +164,7 @@ def j17(spark, sf):
     """Exact names only count when one player carries them; shared names are left unresolved."""
     k = table(spark, sf, "part").select(F.col("p_brand").alias("g"), F.concat(F.lit("jean "), "p_name", F.lit(" "), (F.col("p_partkey") % 5).cast("string")).alias("player"), F.col("p_partkey").alias("player_id"))
     w = k.select("g", F.col("player").alias("name")).distinct()
-    out = fuzzy.lookup_names(w, k, ["g"], use_ratio=False)
-    exact = k.groupBy("g", F.col("player").alias("name")).agg(F.countDistinct("player_id").alias("n")).where("n = 1").select("g", "name")
-    return out.join(exact, ["g", "name"], "left_semi").select("g", "name", "player_id")
+    return fuzzy.lookup_names(w, k, ["g"]).select("g", "name", "player_id")
 
 
 @query("J9_alias_votes", """select distinct 'C'||cast(country as varchar) as league, 'club '||home||' x' as home, home as alias from matches""", ("matches",))
@@ -174,7 +172,7 @@ def j9(spark, sf):
     m = view(spark, sf, "matches").select(F.concat(F.lit("C"), F.col("country").cast("string")).alias("league"), F.col("match_date").alias("day"), "home", "away", "match_id")
     left = m.select(F.col("match_id").alias("id"), "league", "day", F.concat(F.lit("club "), "home", F.lit(" x")).alias("home"), F.concat(F.lit("club "), "away", F.lit(" x")).alias("away"))
     right = m.select(F.col("match_id").alias("id"), "league", "day", F.concat("home").alias("home"), F.concat("away").alias("away"))
-    alias = fuzzy.alias_votes(left, right, min_score=1.0, use_ratio=True)
+    alias = fuzzy.alias_votes(left, right, min_score=1.0)
     return alias.select("league", "home", "alias")
 
 

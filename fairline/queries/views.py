@@ -1,7 +1,7 @@
 """Sports-shaped views over the supplied tables, in SQL text both engines accept.
 
 The same text builds the Spark DataFrame and the CTE of the twin SQL, so both sides start from
-equal rows. Outcomes are unrelated to odds here: values test arithmetic only.
+equal rows. A match id holds all four key columns of its row, each with the digits that the largest scale needs. Outcomes are unrelated to odds here: values test arithmetic only.
 """
 from __future__ import annotations
 
@@ -15,7 +15,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 VIEWS: dict[str, str] = {}
 
 VIEWS["match_base"] = """
-select cast(((l_orderkey*100000 + l_partkey)*10000 + l_suppkey)*10 + l_linenumber as bigint) as match_id,
+select cast(cast(l_orderkey as decimal(12,0)) * cast(10000000000000000000000 as decimal(23,0)) + cast(l_partkey as decimal(11,0)) * cast(100000000000 as decimal(12,0))
+  + cast(l_suppkey as decimal(10,0)) * cast(10 as decimal(2,0)) + cast(l_linenumber as decimal(1,0)) as decimal(38,0)) as match_id,
  cast(l_shipdate as date) as match_date, cast(year(l_shipdate) as int) as season,
  cast(l_orderkey % 8 as int) as country,
  concat('C', cast(l_orderkey % 8 as varchar(9)), '-', cast(l_partkey % 3 as varchar(9))) as league,
@@ -113,17 +114,8 @@ def _needs(view: str) -> list[str]:
     return [n for _, n in _NAME.findall(VIEWS[view])]
 
 
-SPREAD_KEYS = {"lineitem": "l_partkey"}          # the table the heavy views read, and a column with many values
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table. A single unsplittable file would keep every core but one idle, so it is spread once;
-    data with at least as many splits as cores is read as it is."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, SPREAD_KEYS[name])
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

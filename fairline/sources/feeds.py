@@ -80,7 +80,7 @@ def skater_games(summary: DataFrame, ice_time: DataFrame) -> DataFrame:
     return j.dropDuplicates(["game_id", "player_id"])
 
 
-PROPS_PAYLOAD = ("struct<events: array<struct<id: long, description: string, parsedStart: timestamp, groupedMarkets: array<struct<description: string, markets: "
+PROPS_PAYLOAD = ("struct<events: array<struct<id: decimal(38,0), description: string, parsedStart: timestamp, groupedMarkets: array<struct<description: string, markets: "
                  "array<struct<description: string, suspended: boolean, outcomes: array<struct<description: string, price: string, suspended: boolean, hidden: boolean>>>>>>>>>")
 # Prefixes of player markets and their statistic; scorer markets and their line.
 PROP_STATS = {"Nombre de Buts - Joueur": "Buts", "Nombre de Points - Joueur": "Points", "Nombre de Passes décisives - Joueur": "Passes décisives"}

@@ -71,7 +71,7 @@ if __name__ == "__main__":
     import __spark_entry__ as e
     from fairline.session import local_session
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = local_session("8")
+    spark = local_session(os.environ.get("CPUS", "8"))
     con = duck(sf)
     qs, ss = e.queries(), e.oracle_sql()
     pats = sys.argv[1:]
