@@ -266,10 +266,10 @@ def components(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, near:
     """id, digest, n_shingles, component_id for each row."""
     rows = settle(profiles(docs, k, id_col, text_col), "profiles")
     full = rows.where("digest IS NOT NULL")
-    # hot copies shrink to a row a task before the shuffle
-    classes = full.groupBy("digest").agg(F.min("id").alias("rep"))
-    one = full.join(classes, "digest").where(F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["digest"]).select("digest", "rep", "bands", "sketch")
+    # hot copies shrink to a row a task before the shuffle; what follows from the set is the same in all of them
+    one = full.groupBy("digest").agg(F.min("id").alias("rep"), F.first(F.struct("bands", "sketch")).alias("s")).select("digest", "rep", "s.bands", "s.sketch")
     one = settle(one, "classes")
+    classes = one.select("digest", "rep")
     met = one.select(F.explode("bands").alias("band"), "digest")
     met = settle(met.join(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band", "left_semi"), "met")
     tasks = in_blocks(met, "band", block).join(one.select("digest", "sketch"), "digest")
