@@ -79,5 +79,5 @@ def lower_ascii(text: str) -> str:
 
 
 def remainder(doc_id: str, n: int):
-    """crc32(doc_id as text) mod n, as a column."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
+    """crc32(doc_id as text) mod n, as a column; -1 for a null id, which is in no held-out fold."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(-1))

@@ -307,8 +307,8 @@ def score_texts(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
 
 def report(docs: DataFrame, fold: int = 7) -> DataFrame:
     """Learn from texts outside the held-out fold, score all."""
-    out = F.coalesce(remainder("doc_id", fold) == 2, F.lit(False))
+    out = remainder("doc_id", fold) == 2
     model = learn(docs.where(~out))
     s = score_texts(docs, model)
-    return s.select(F.col("id").alias("doc_id"), F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(fold)) == 2, F.lit(False)).alias("held_out"),
+    return s.select(F.col("id").alias("doc_id"), (remainder("id", fold) == 2).alias("held_out"),
                     "n_tokens", "n_known", F.lit(model["N"]).cast("bigint").alias("train_tokens"), "base_score", "score")
