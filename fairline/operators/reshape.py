@@ -162,17 +162,24 @@ def importance_k(tournament: Column | str) -> Column:
             .when(qualif | t.contains("nations league"), 40.0).when(t == "friendly", 20.0).otherwise(30.0))
 
 
+SLICES = 100_000
+
+
 def pair_consecutive(df: DataFrame, order: str, keep: Sequence[str], slice_col: str) -> DataFrame:
     """Rows listed visitor then home, two by two, to one row per game.
 
-    The running row number is taken per slice first and shifted by slice totals, so no task
-    ever sorts the whole table.
+    The running row number is taken per slice first and shifted by the totals of earlier slices; these are summed per group of
+    SLICES slices and then over groups, so no task sorts the table or all its slices. `slice_col` is a whole number that grows with `order`.
     """
     from pyspark.sql import Window
     local = df.withColumn("_rn", F.row_number().over(Window.partitionBy(slice_col).orderBy(order)) - 1)
     totals = df.groupBy(slice_col).agg(F.count(F.lit(1)).alias("_n"))
-    shift = totals.select(slice_col, (F.coalesce(F.sum("_n").over(
-        Window.orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_off"))
+    before = (Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_g", F.floor(F.col(slice_col) / SLICES))
+    heads = totals.groupBy("_g").agg(F.sum("_n").alias("_m"))
+    heads = heads.select("_g", F.coalesce(F.sum("_m").over(Window.orderBy("_g").rowsBetween(*before)), F.lit(0)).alias("_base"))
+    inside = totals.withColumn("_in", F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy(slice_col).rowsBetween(*before)), F.lit(0)))
+    shift = inside.join(heads, "_g").select(slice_col, (F.col("_base") + F.col("_in")).alias("_off"))
     numbered = local.join(shift, slice_col).withColumn("_rn", F.col("_rn") + F.col("_off"))
     row = F.struct(*keep)
     return (numbered.groupBy(F.floor(F.col("_rn") / 2).alias("game_no"))

@@ -59,11 +59,17 @@ def compare_with_sharp(sharp: DataFrame, soft: DataFrame, matched: DataFrame) ->
     f = f.withColumn("sharp_selection", own)
     f = attach_totals(f, ["event_id", "book"], _draw=F.max(F.when((F.col("market") == "moneyline") & (F.col("selection") == "Nul"), 1).otherwise(0)))
     f = f.where((F.col("market") == "total") | ((F.col("market") == "moneyline") & (F.col("_draw") == F.col("_three"))))
+    # player props are another market, and totals of different units (goals, corners, games, sets) never meet
+    both = [c for c in ("unit",) if c in soft.columns and c in sharp.columns]
+    if "is_prop" in soft.columns:
+        f = f.where(~F.coalesce("is_prop", F.lit(False)))
+    if "is_prop" in sharp.columns:
+        sharp = sharp.where(~F.coalesce("is_prop", F.lit(False)))
     f = f.withColumn("line", F.when(F.col("market") == "total", F.col("line")).otherwise(F.lit(-1.0)))
-    best = f.groupBy("sharp_id", "market", "sharp_selection", "line").agg(F.max_by(F.struct("book", "odds"), F.struct(F.col("odds"), F.col("book"))).alias("b"))
+    best = f.groupBy("sharp_id", "market", "sharp_selection", "line", *both).agg(F.max_by(F.struct("book", "odds"), F.struct(F.col("odds"), F.col("book"))).alias("b"))
     s = sharp.withColumn("line", F.when(F.col("market") == "total", F.col("line")).otherwise(F.lit(-1.0))).groupBy(
-        F.col("event_id").alias("sharp_id"), "market", F.col("selection").alias("sharp_selection"), "line").agg(F.max("fair_prob").alias("fair_prob"))
-    return best.join(s, ["sharp_id", "market", "sharp_selection", "line"]).select(
+        F.col("event_id").alias("sharp_id"), "market", F.col("selection").alias("sharp_selection"), "line", *both).agg(F.max("fair_prob").alias("fair_prob"))
+    return best.join(s, ["sharp_id", "market", "sharp_selection", "line", *both]).select(
         "sharp_id", "market", "sharp_selection", "line", "b.*", "fair_prob", (F.col("fair_prob") * F.col("b.odds") - 1).alias("ev"))
 
 
@@ -168,6 +174,8 @@ def upsert_picks(history: DataFrame, picks: DataFrame, fair_ticks: DataFrame, no
     t = t.where((F.col("ts") < F.col("start")) & (F.col("ts") > F.col("detected_at")) & (F.col("ts") <= now))
     last = t.groupBy(*PICK).agg(F.max_by("fair_odds", F.struct("ts", "fair_odds")).alias("fair_odds_last"), F.max("ts").alias("last_seen"))
     out = led.join(last, PICK, "left")
+    if "fair_odds_at_pick" in out.columns:                      # before the first tick the pick's own fair price holds
+        out = out.withColumn("fair_odds_last", F.coalesce("fair_odds_last", "fair_odds_at_pick"))
     return out.withColumns({"clv": F.round(clv("odds", "fair_odds_last"), 4), "status": F.when(F.col("start") <= now, "started").otherwise("open")})
 
 

@@ -117,7 +117,7 @@ class EloState(StatefulProcessor):
             gain = self.k * _margin_weight(gd) * ((1.0 if gd > 0 else 0.5 if gd == 0 else 0.0) - p)
             known[h], known[a] = rh + gain, ra - gain
             touched |= {h, a}
-            out.append((int(mid), rh, ra, p))
+            out.append((mid, rh, ra, p))
         for t in touched:
             self.ratings.updateValue((t,), (known[t],))
         yield pd.DataFrame(out, columns=["match_id", "elo_h", "elo_a", "elo_raw_ph"])
@@ -128,7 +128,8 @@ class EloState(StatefulProcessor):
 
 def elo_stream(results: DataFrame, group: str = "country") -> DataFrame:
     """Pre-match ratings emitted as results arrive: (group, match_id, match_date, home, away, gd)."""
-    return results.groupBy(group).transformWithStateInPandas(EloState(), "match_id long, elo_h double, elo_a double, elo_raw_ph double", "append", "None")
+    kind = dict(results.dtypes)["match_id"]
+    return results.groupBy(group).transformWithStateInPandas(EloState(), f"match_id {kind}, elo_h double, elo_a double, elo_raw_ph double", "append", "None")
 
 
 def run_available(df: DataFrame, name: str, folder: str, mode: str = "append") -> DataFrame:

@@ -43,7 +43,24 @@ def test_one_pick_a_key(spark):
     picks = spark.createDataFrame([("e", "s", "b", t + dt.timedelta(days=2), 2.1, t + dt.timedelta(hours=1), 2.0, "m"), ("e", "s", "b", t + dt.timedelta(days=2), 2.0, t, 1.9, "m")], kind)
     ticks = spark.createDataFrame([], "market_key string, selection string, ts timestamp, fair_odds double")
     led = live.upsert_picks(picks.where("odds < 0"), picks, ticks, F.lit(t + dt.timedelta(days=1))).collect()
-    assert len(led) == 1 and led[0]["odds"] == 2.0
+    assert len(led) == 1 and led[0]["odds"] == 2.0 and led[0]["fair_odds_last"] == 1.9
+
+
+def test_units_and_props_do_not_meet(spark):
+    kind = "event_id string, market string, selection string, line double, home string, away string, unit string, is_prop boolean"
+    rows = [("s", "total", "Plus", 2.5, "a", "b", "goals", False), ("s", "total", "Plus", 2.5, "a", "b", "corners", False), ("s", "total", "Plus", 2.5, "a", "b", "goals", True)]
+    sharp = spark.createDataFrame([(*r, p) for r, p in zip(rows, (0.5, 0.9, 0.95))], kind + ", fair_prob double")
+    soft = spark.createDataFrame([("e", "total", "Over", 2.5, "a", "b", "goals", False, "bk", 2.1)], kind + ", book string, odds double")
+    matched = spark.createDataFrame([("e", "s", False)], "left_id string, right_id string, swapped boolean")
+    got = live.compare_with_sharp(sharp, soft, matched).collect()
+    assert [(r["fair_prob"], round(r["ev"], 6)) for r in got] == [(0.5, 0.05)]
+
+
+def test_pairs_over_many_slices(spark):
+    from fairline.operators import reshape
+    d = spark.range(0, 4000).select(F.col("id").alias("o"), (F.col("id") * 977).alias("s"), F.concat(F.lit("t"), "id").alias("t"))
+    got = reshape.pair_consecutive(d, "o", ["t"], "s").collect()
+    assert sorted((r["game_no"], r["t_v"], r["t_h"]) for r in got) == [(k, f"t{2 * k}", f"t{2 * k + 1}") for k in range(2000)]
 
 
 def test_boosting_keeps_every_row(spark):
