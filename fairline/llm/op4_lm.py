@@ -77,6 +77,38 @@ class Words:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+class WordTable(Words):
+    """What scoring needs of each word, looked up once: hash, exact count (-1: not among the frequent), count by the filter."""
+
+    def __init__(self, frequent: dict, whole: bool, bloom, limit: int = 500_000):
+        super().__init__(limit)
+        self.frequent, self.missing, self.bloom = frequent, 0 if whole else -1, bloom
+        self.clear()
+
+    def clear(self) -> None:
+        import numpy as np
+        self.known = {}
+        self.hash, self.count, self.alone = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0)
+
+    def slots(self, words: list[str]):
+        import numpy as np
+        if len(self.known) > self.limit:
+            self.clear()
+        new = list(set(words).difference(self.known))
+        if new:
+            have = len(self.known)
+            h = Words().hashes(new)
+            if have + len(new) > len(self.hash):
+                grow = max(have, len(new), 1 << 16)
+                self.hash, self.count, self.alone = (np.concatenate([x, np.empty(grow, x.dtype)]) for x in (self.hash, self.count, self.alone))
+            here = slice(have, have + len(new))
+            self.hash[here] = h
+            self.count[here] = [self.frequent.get(w, self.missing) for w in new]
+            self.alone[here] = middle(self.bloom.levels(mix(h))) if self.bloom is not None else 0.0
+            self.known.update(zip(new, range(have, have + len(new))))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+
 def pair_keys(h):
     """Keys of each word with the one before it; the first comes after the border."""
     import numpy as np
@@ -139,12 +171,17 @@ def shard_of(keys, shards: int):
     return ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
 
-def places(keys, q: int, bits: int):
-    """Places of (key, q) in a shard, (keys, PROBES)."""
+def halves(keys, q: int):
+    """Two 32-bit halves of the hash of (key, q)."""
     import numpy as np
     x = mix(keys + np.uint64(q * 0xD6E8FEB86659FD93 % (1 << 64)))
-    step = (x >> np.uint64(32)) | np.uint64(1)
-    return ((x & np.uint64(0xFFFFFFFF))[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(bits)
+    return x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)
+
+
+def place(low, high, probe: int, bits: int):
+    """Place of a probe in a shard of fewer than 2 ** 32 bits."""
+    import numpy as np
+    return (((low + np.uint64(probe) * high) & np.uint64(0xFFFFFFFF)) * np.uint64(bits)) >> np.uint64(32)
 
 
 def filter_shards(keys: DataFrame, shards: int, bits: int) -> DataFrame:
@@ -161,7 +198,9 @@ def filter_shards(keys: DataFrame, shards: int, bits: int) -> DataFrame:
             mine = where == shard
             cells = np.zeros(bits, np.uint8)
             for j in range(1, int(q[mine].max()) + 1):
-                cells[places(key[mine & (q >= j)], j, bits).ravel()] = 1
+                low, high = halves(key[mine & (q >= j)], j)
+                for probe in range(PROBES):
+                    cells[place(low, high, probe, bits)] = 1
             yield pa.RecordBatch.from_arrays([pa.array([int(shard)], pa.int32()), pa.array([np.packbits(cells).tobytes()], pa.binary())], names=["shard", "cells"])
     where = F.pmod(F.shiftrightunsigned("key", 40), F.lit(shards)).cast("int")
     return keys.repartition(shards, where).mapInArrow(build, "shard int, cells binary")
@@ -175,14 +214,16 @@ class Filter:
         """Level of each key, by probing until a probe fails."""
         import numpy as np
         out = np.zeros(len(keys), np.int64)
-        left = np.arange(len(keys))
+        left, q = np.arange(len(keys)), 0
         base = shard_of(keys, self.shards) * self.width
-        q = 0
         while len(left):
             q += 1
-            at = places(keys[left], q, self.bits).astype(np.int64)
-            hit = ((self.cells[base[left][:, None] + (at >> 3)] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
-            left = left[hit]
+            low, high = halves(keys[left], q)
+            where = base[left]
+            for probe in range(PROBES):                                 # most keys that are not there end at the first probe
+                at = place(low, high, probe, self.bits).astype(np.int64)
+                hit = ((self.cells[where + (at >> 3)] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+                left, low, high, where = left[hit], low[hit], high[hit], where[hit]
             out[left] = q
         return out
 
@@ -239,15 +280,15 @@ def score_texts(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
 
     def tables():
         m = held.value
-        return m["frequent"], m["whole"], Words(), None if joined else Filter(m["shards"], m["bits"], m["cells"])
+        return WordTable(m["frequent"], m["whole"], None if joined else Filter(m["shards"], m["bits"], m["cells"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         from collections import Counter
-        from itertools import repeat
         from pyspark.sql.pandas.types import to_arrow_schema
         arrow = to_arrow_schema(schema)
-        frequent, whole, words, bloom = once(("lm", name), tables)
+        words = once(("lm", name), tables)
+        bloom = words.bloom
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -255,25 +296,25 @@ def score_texts(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
                 size = np.array([len(t) for t in texts])
                 flat = [w for t in texts for w in t]
                 begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-                row = np.repeat(np.arange(len(texts)), size)
-                c = np.fromiter(map(frequent.get, flat, repeat(0 if whole else -1)), np.int64, len(flat))
+                slot = words.slots(flat)
+                c, h = words.count[slot], words.hash[slot]
                 rare = [[] for _ in texts]
-                for k in np.flatnonzero(c < 0).tolist():
-                    rare[row[k]].append(flat[k])
+                at_rare = np.flatnonzero(c < 0)
+                for k, r in zip(at_rare.tolist(), (np.searchsorted(begin, at_rare, "right") - 1).tolist()):
+                    rare[r].append(flat[k])
                 base = np.add.reduceat(np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0) - norm, 0), begin)
                 known = np.add.reduceat((c > 0).astype(np.int64), begin)
-                h = words.hashes(flat)
                 before = np.concatenate([h[:1], h[:-1]])
-                single = mix(h)
-                pair = mix(np.where(np.isin(np.arange(len(h)), begin), np.uint64(BEGIN), before) * np.uint64(0x9E3779B97F4A7C15) + h + np.uint64(1))
+                before[begin] = np.uint64(BEGIN)
+                pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + h + np.uint64(1))
                 score, pairs = np.zeros(len(texts)), None
                 if bloom is not None:
-                    alone = middle(bloom.levels(single))
+                    alone = words.alone[slot]
                     prev = np.concatenate([[0.0], alone[:-1]])
                     prev[begin] = starts
                     score = np.add.reduceat(log_score(middle(bloom.levels(pair)), alone, prev, n_all, v_all, lam), begin)
                 else:
-                    pairs = []
+                    pairs, single = [], mix(h)
                     for b, n in zip(begin, size):
                         p, first, times = np.unique(pair[b:b + n], return_index=True, return_counts=True)
                         pairs.append([{"pair": int(x), "word": int(single[b + f].view(np.int64)), "before": int(mix(h[b + f - 1:b + f])[0].view(np.int64)) if f else None, "n": int(t)}
