@@ -6,8 +6,10 @@ one with the largest id is a response and the others are revisits without a body
 Reading. A file is cut at every occurrence of the magic `WARC/1.1` + CRLF, also at those inside payloads, so files of any size are read by
 many tasks. Each piece whose header parses is a candidate record; its header and Content-Length say where its successor starts. Tasks
 follow these links inside their split, so each candidate has a jump out of it; jumps are then doubled over all splits of a file
-(pointer jumping), and what is reachable from the start of the file is kept. Candidates inside payloads are not reachable. A payload
-that is cut by a magic is put together out of the pieces it covers. A file whose chain does not end at its end raises.
+(pointer jumping), and what is reachable from the start of the file tells at which record the chain enters each split. A second
+pass follows the chain from there: candidates inside payloads are not on it, and a body cut by a magic is put together out of the
+pieces it covers. Only bodies that go on in the next split meet its first pieces in a join. A chain that does not end at the end of
+its file raises. The entries sent to the second pass are one small row a split.
 
 Null texts are empty payloads; a null page_id or url is left out of the header. Repeated rows each give a record (of equal largest ids all
 are responses). CR and LF in a url are percent-encoded. Empty tables give no records. Other columns are not read.
@@ -57,15 +59,19 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, **names) -
 
 
 HEADER = re.compile(rb"((?:[A-Za-z-]+: [^\r\n]*\r\n)*)\r\n")
-PIECE = "file string, block bigint, at bigint, size bigint, start boolean, head int, body bigint, succ bigint, exit bigint, piece binary"
+PIECE = "file string, block bigint, at bigint, size bigint, start boolean, succ bigint, exit bigint"
 
 
-def pieces(spark: SparkSession, folder: str, with_bytes: bool) -> DataFrame:
-    """A row for each piece: its place in its split (`at`, with the magic before it), whether its header parses, length of the header, length
-    of the body, where its record ends (`succ`) and where the chain from it leaves the split (`exit`), all from the split's start."""
-    schema = spark.createDataFrame([], PIECE).schema
+def cut_at_magic(spark: SparkSession, folder: str) -> DataFrame:
+    """file, block, piece: what stands between two occurrences of the magic, in order within each split."""
     raw = spark.read.option("lineSep", MAGIC).text(folder)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("piece"))
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("piece"))
+
+
+def pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each piece: its place in its split (`at`, with the magic before it), its size, whether its header parses, where its
+    record ends (`succ`) and where the chain from it leaves the split (`exit`), all from the split's start."""
+    schema = spark.createDataFrame([], PIECE).schema
     magic, gap = len(MAGIC), len(GAP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,11 +84,11 @@ def pieces(spark: SparkSession, folder: str, with_bytes: bool) -> DataFrame:
             end = split[-1][2] + split[-1][3]
             exits = [None] * len(split)
             for k in range(len(split) - 1, -1, -1):
-                succ = split[k][7]
+                succ = split[k][5]
                 if succ is not None:
                     exits[k] = succ if succ >= end else exits[place[succ]] if succ in place else None
-            for a in range(0, len(split), 512):
-                rows = [(*r[:8], x, r[8] if with_bytes else None) for r, x in zip(split[a:a + 512], exits[a:a + 512])]
+            for a in range(0, len(split), 8192):
+                rows = [(*r, x) for r, x in zip(split[a:a + 8192], exits[a:a + 8192])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
         split, key, at = [], None, 0
         for batch in batches:
@@ -100,71 +106,119 @@ def pieces(spark: SparkSession, folder: str, with_bytes: bool) -> DataFrame:
                 length = re.search(rb"(?:^|\n)Content-Length: (\d+)\r\n", m[1]) if m else None
                 body = int(length[1]) if length else None
                 succ = at + magic + m.end() + body + gap if length else None
-                split.append((file, block, at, magic + len(piece), length is not None, m.end() if length else None, body, succ, piece if with_bytes else None))
+                split.append((file, block, at, magic + len(piece), length is not None, succ))
                 at += magic + len(piece)
         if split:
             yield from send(split)
-    return raw.mapInArrow(run, schema)
+    return cut_at_magic(spark, folder).mapInArrow(run, schema)
 
 
-def placed(p: DataFrame) -> DataFrame:
-    """Pieces with places from the start of their file. What lies before a split is the sum over the splits before it."""
-    sizes = p.groupBy("file", "block").agg(F.sum("size").alias("n"))
-    before = sizes.select(F.col("file").alias("_f"), F.col("block").alias("_b"), F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy("file")).alias("total"))
-    q = p.join(before, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b"))).drop("_f", "_b")
-    return q.withColumns({c: F.col(c) + F.col("base") for c in ("at", "succ", "exit")})
+def places(links: DataFrame) -> DataFrame:
+    """file, block, base, total of each split: what lies before it, and the size of its file."""
+    sizes = links.groupBy("file", "block").agg(F.sum("size").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy("file")).alias("total"))
 
 
-def reachable(links: DataFrame) -> DataFrame:
-    """file, at of the records on the chain from each file's start; links: file, block, at, succ, exit, total of all candidates.
+def entered(links: DataFrame) -> DataFrame:
+    """file, at of the candidates at which the chain of a file enters a split; links: file, at, exit, total.
 
     Jumps out of splits are doubled until none is left, and the set reached grows twice as far each time: as many rounds as the logarithm
-    of the splits of a file. Then each split follows its own chain from the record at which it is entered.
+    of the splits of a file.
     """
     seen = links.select("file").distinct().select("file", F.lit(0).cast("bigint").alias("at"))
     now = settle(links.where(F.col("exit") < F.col("total")).select("file", "at", F.col("exit").alias("to")), "jumps")
     while now.limit(1).count():
         seen = settle(seen.union(seen.join(now, ["file", "at"]).select("file", F.col("to").alias("at"))).distinct(), "entries")
         now = settle(now.join(now.select("file", F.col("at").alias("to"), F.col("to").alias("to2")), ["file", "to"]).select("file", "at", F.col("to2").alias("to")), "jumps")
+    return seen
+
+
+FOUND = "kind string, file string, offset bigint, end bigint, headers string, body binary"
+
+
+def records(spark: SparkSession, folder: str, splits: dict) -> DataFrame:
+    """Rows of the chain, given (base, total, entry) of each split: `whole` records, `open` ones that go on in the next split, and
+    `part`s, the pieces before a split's entry."""
+    schema = spark.createDataFrame([], FOUND).schema
+    held = spark.sparkContext.broadcast(splits)
+    gap, magic = len(GAP), MAGIC.encode()
 
-    def follow(pdf):
-        entered = pdf.loc[pdf["entry"], "at"]
-        if not len(entered):
-            return pdf.loc[[], ["file", "at"]]
-        succ = dict(zip(pdf["at"].tolist(), pdf["succ"].tolist()))
-        at, out = int(entered.min()), []
-        while at in succ:
-            out.append(at)
-            at = succ[at]
-        return pdf.loc[pdf["at"].isin(out), ["file", "at"]]
-    entries = seen.select("file", "at", F.lit(True).alias("entry"))
-    # a group is what one split of a file holds
-    marked_links = links.join(entries, ["file", "at"], "left").select("file", "block", "at", "succ", F.coalesce("entry", F.lit(False)).alias("entry"))
-    return marked_links.groupBy("file", "block").applyInPandas(follow, "file string, at bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+        arrow = to_arrow_schema(schema)
+        key, rows, size = None, [], 0
+        base = total = at = nxt = 0
+        now = None                                      # the open record: offset, end, headers, body so far with what follows
+
+        def send():
+            out = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+            rows.clear()
+            return out
+
+        def close():
+            if now is not None:
+                rows.append(("open", key[0], now[0], now[1], now[2], b"".join(now[3])))
+            elif nxt is not None and at == total and nxt != total:
+                raise ValueError(f"the chain of records breaks off in {key[0]}")
+        for batch in batches:
+            for file, block, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, block) != key:
+                    if key is not None:
+                        close()
+                    key, now = (file, block), None
+                    base, total, nxt = held.value.get(key, (0, 0, None))
+                    at = base
+                    if block == 0:
+                        continue                        # the empty piece before the first magic
+                here, at = at, at + len(magic) + len(piece)
+                if now is not None:
+                    now[3].extend((magic, piece))
+                elif nxt is None or here < nxt:
+                    rows.append(("part", file, here, None, None, magic + piece))
+                else:
+                    m = HEADER.match(piece)
+                    length = re.search(rb"(?:^|\n)Content-Length: (\d+)\r\n", m[1]) if m else None
+                    if here != nxt or length is None:
+                        raise ValueError(f"no record at {nxt} of {file}")
+                    now = (here, here + len(magic) + m.end() + int(length[1]) + gap, m[1].decode(), [piece[m.end():]])
+                if now is not None and at >= now[1]:
+                    if at != now[1]:
+                        raise ValueError(f"no record at {now[1]} of {file}")
+                    body = b"".join(now[3])
+                    rows.append(("whole", file, now[0], now[1], now[2], body[:len(body) - gap]))
+                    nxt, now = now[1], None
+                size += len(piece)
+                if size > 4 << 20 and rows:
+                    yield send()
+                    size = 0
+        if key is not None:
+            close()
+        if rows:
+            yield send()
+    return cut_at_magic(spark, folder).mapInArrow(run, schema)
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """file, offset, headers (as text), body of each record of the archives."""
-    links = settle(placed(pieces(spark, folder, False)).where("start").select("file", "block", "at", "succ", "exit", "total"), "links")
-    on = reachable(links)
-    chain = settle(links.join(on, ["file", "at"]).select("file", "at", "succ", "total"), "on-chain")
-    ends = chain.groupBy("file").agg(F.max("succ").alias("end"), F.max("total").alias("total"))
-    ends = ends.withColumn("total", F.when(F.col("end") != F.col("total"), F.raise_error(F.concat(F.lit("the chain of records breaks off in "), F.col("file")))).otherwise(F.col("total")))
-    chain = chain.drop("total").join(ends.select("file", "total"), "file")
-    all_pieces = placed(pieces(spark, folder, True)).drop("succ", "exit", "total", "base")
-    p = all_pieces.join(chain.select("file", "at", "succ", "total"), ["file", "at"], "left")
-    whole = F.col("succ").isNotNull() & (F.col("at") + F.col("size") == F.col("succ"))
-    done = p.where(whole & (F.col("total") >= 0)).select("file", F.col("at").alias("offset"), F.expr("cast(substring(piece, 1, head - 2) as string)").alias("headers"), F.expr("substring(piece, head + 1, int(body))").alias("body"))
-    # records that a magic cuts, and the pieces that they may cover, meet by ranges of 1 MiB; a record takes as many as it is long
-    bin_of = lambda c: F.floor(F.col(c) / (1 << 20))
-    cut = chain.join(all_pieces.select("file", "at", "size", "head", "body"), ["file", "at"]).where(F.col("at") + F.col("size") < F.col("succ"))
-    cut = cut.select("file", F.col("at").alias("offset"), F.col("succ").alias("end"), F.col("head").alias("_head"), F.col("body").alias("_body"), F.explode(F.sequence(bin_of("at"), F.floor((F.col("succ") - 1) / (1 << 20)))).alias("bin"))
-    parts = p.where(~F.coalesce(whole, F.lit(False))).select("file", "at", "piece", bin_of("at").alias("bin"))
-    held = cut.join(parts, ["file", "bin"]).where((F.col("at") >= F.col("offset")) & (F.col("at") < F.col("end")))
-    # the magic between two pieces belongs to the body
-    joined = held.groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("ps"), F.max("_head").alias("head"), F.max("_body").alias("body"))
-    one = F.aggregate(F.expr("slice(ps, 2, size(ps))"), F.col("ps")[0]["piece"], lambda a, x: F.concat(a, F.lit(MAGIC).cast("binary"), x["piece"]))
-    mended = joined.withColumn("piece", one).select("file", "offset", F.expr("cast(substring(piece, 1, head - 2) as string)").alias("headers"), F.expr("substring(piece, head + 1, int(body))").alias("body"))
+    found = settle(pieces(spark, folder), "pieces")
+    splits = settle(places(found), "splits")
+    near = found.join(splits, ["file", "block"])
+    links = settle(near.where("start").select("file", "block", (F.col("at") + F.col("base")).alias("at"), (F.col("exit") + F.col("base")).alias("exit"), "total"), "links")
+    first = entered(links).join(links.select("file", "at", "block"), ["file", "at"]).groupBy("file", "block").agg(F.min("at").alias("entry"))
+    known = {(r["file"], r["block"]): (r["base"], r["total"], r["entry"]) for r in splits.join(first, ["file", "block"], "left").toLocalIterator()}   # a row a split
+    r = records(spark, folder, known)
+    done = r.where("kind = 'whole'").select("file", "offset", "headers", "body")
+    # bodies that go on and the pieces that they may cover meet by ranges of 1 MiB
+    over = settle(r.where("kind <> 'whole'"), "over")
+    mib = 1 << 20
+    opened = over.where("kind = 'open'").select("file", "offset", "end", "headers", "body", F.explode(F.sequence(F.floor(F.col("offset") / mib), F.floor((F.col("end") - 1) / mib))).alias("bin"))
+    parts = over.where("kind = 'part'").select("file", F.col("offset").alias("at"), F.col("body").alias("piece"), F.floor(F.col("offset") / mib).alias("bin"))
+    met = opened.drop("body").join(parts, ["file", "bin"]).where((F.col("at") > F.col("offset")) & (F.col("at") < F.col("end"))).groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("ps"))
+    tail = F.aggregate("ps", F.lit(b""), lambda a, x: F.concat(a, x["piece"]))
+    mended = over.where("kind = 'open'").join(met, ["file", "offset"], "left").withColumn("all", F.concat("body", F.coalesce(tail, F.lit(b""))))
+    size = F.length("all") - len(GAP)
+    mended = mended.select("file", "offset", "headers", F.when(size < 0, F.raise_error(F.lit("a record breaks off"))).otherwise(F.expr(f"substring(all, 1, length(all) - {len(GAP)})")).alias("body"))
     return done.unionByName(mended)
 
 
