@@ -73,6 +73,12 @@ def once(key, make):
     return _HELD[key]
 
 
+def forget() -> None:
+    """Give up what `once` keeps: the worker now serves another operator."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def lower_ascii(text: str) -> str:
     """A-Z to a-z and nothing else."""
     return text.lower() if text.isascii() else text.encode().lower().decode()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Cache
-from .common import keep_rows, remainder, rows_pass, settle
+from .common import forget, keep_rows, remainder, rows_pass, settle
 
 #: Signs and the letters that they stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
@@ -43,6 +43,7 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Counts of character trigrams over all texts: gram (index), n."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        forget()
         lut = np.zeros(256, np.int64)
         for c, i in CODE.items():
             lut[ord(c)] = i
@@ -255,8 +256,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, candidates: i
         return model
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         restorer = Restorer(CharModel(chars.value))
-        cache = Cache(lambda c: [f for w in restorer.chunk(c) for f in features(w)], 100_000)
+        cache = Cache(lambda c: [f for w in restorer.chunk(c) for f in features(w)], 40_000)
         n: dict[str, list[int]] = defaultdict(lambda: [0, 0])
 
         def send():
@@ -265,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, candidates: i
             for text, y in zip(*(c.to_pylist() for c in batch.columns)):
                 for f in said(*tally(restorer, cache, text)):
                     n[f][y] += 1
-                if len(n) > 500_000:
+                if len(n) > 200_000:
                     yield send()
                     n.clear()
         if n:
@@ -291,6 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, candidates: i
 def scorer(model: dict):
     """The score of a text; built once a task."""
     import math
+    forget()
     restorer = Restorer(CharModel(model["chars"]))
     weights = model["weights"]
     stems = {f.rsplit(">", 1)[0] for f in weights if f}

@@ -218,8 +218,8 @@ def labeller(model: Model | None):
         slots.update(zip(words, range(have, have + len(words))))
 
     def label(texts):
-        if len(state["slots"]) > 400_000:
-            state["slots"] = {}
+        if len(state["slots"]) > 200_000:
+            state["slots"], state["table"] = {}, np.empty((1 << 16, L), np.float32)
         out, todo = [("und", 0.0)] * len(texts), []
         held: list = []
 

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import lower_ascii, settle
+from .common import forget, lower_ascii, settle
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 HASHES, ROWS, BITS = 128, 5, 1024
@@ -45,7 +45,7 @@ def seeds():
 def word_hashes(words: list[str], cache: dict):
     import numpy as np
     import xxhash
-    if len(cache) > 300_000:
+    if len(cache) > 150_000:
         cache.clear()
     for w in set(words).difference(cache):
         cache[w] = xxhash.xxh3_64_intdigest(w)
@@ -105,6 +105,7 @@ def profiles(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
         import numpy as np
         from pyspark.sql.pandas.types import to_arrow_schema
         arrow = to_arrow_schema(schema)
+        forget()
         mul, add = seeds()
         cache: dict = {}
         n_bands = HASHES // ROWS

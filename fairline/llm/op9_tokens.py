@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .bpe import CACHE, PIECES, adjacency, byte_letters
+from .bpe import PIECES, adjacency, byte_letters
 from .common import once, scratch, settle
 
+#: Entries of the caches of a task; a full cache starts again. It changes the speed alone.
+CACHE = 500_000
 #: Fixed value of the mask.
 MASK = 0xA282EAD8
 
