@@ -199,15 +199,14 @@ def said(n: Counter, size: int) -> Iterator[str]:
             yield f">{t}"
 
 
-def boost(rows: list[tuple[int, list[str]]], rounds: int = 1000, ridge: float = 3.0, gain: float = 8.0) -> dict[str, float]:
-    """Weights of a logistic model by feature, "" for the intercept. Each round moves the weight of the feature that improves the fit
-    most by a small step, so that words which occur together all come in; at last the weights of those that are in are fitted."""
+def boost(rows: list[tuple], names: list[str], rounds: int = 1000, ridge: float = 3.0, gain: float = 8.0) -> dict[str, float]:
+    """Weights of a logistic model by feature, "" for the intercept; rows: label and numbers of the features in it. Each round moves the
+    weight of the feature that improves the fit most by a small step, so that words which occur together all come in; at last the weights
+    of those that are in are fitted."""
     import numpy as np
-    names = sorted({f for _, x in rows for f in x})
-    at = {f: k for k, f in enumerate(names)}
     y = np.array([r[0] for r in rows], float)
     row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    col = np.array([at[f] for _, x in rows for f in x], np.int64)
+    col = np.concatenate([r[1] for r in rows]).astype(np.int64)
     order = np.argsort(col, kind="stable")
     by_col, edges = row[order], np.searchsorted(col[order], np.arange(len(names) + 1))
     inside: list[int] = []
@@ -242,6 +241,7 @@ def boost(rows: list[tuple[int, list[str]]], rounds: int = 1000, ridge: float =
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, candidates: int = 4000, least: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """The model: character counts of the corpus and weights of features. `candidates`: features among which the fit chooses."""
+    import numpy as np
     spark = docs.sparkSession
     counts = [tuple(r) for r in char_counts(docs, text_col).collect()]          # at most SIZE ** 3 rows
     chars = spark.sparkContext.broadcast(counts)
@@ -278,15 +278,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, candidates: i
     n, more = F.col("toxic") + F.col("clean"), F.col("toxic") - base * (F.col("toxic") + F.col("clean"))
     # words that occur often in few copies gain like toxic ones here; the fit tells them apart
     best = seen.where((F.col("toxic") >= least) & (more > 0) & ~F.col("f").startswith(">")).orderBy(F.desc(more * more / (n * base * (1 - base) + 3)), F.desc(F.length("f")), "f").limit(candidates)
-    names = spark.sparkContext.broadcast({r["f"] for r in best.select("f").collect()} | {f">{t}" for t in WORDS})
+    known = sorted({r["f"] for r in best.select("f").collect()} | {f">{t}" for t in WORDS})
+    names = spark.sparkContext.broadcast({f: k for k, f in enumerate(known)})
 
     def which():
         restorer = Restorer(CharModel(chars.value))
         stems = {f.rsplit(">", 1)[0] for f in names.value}
         cache = Cache(lambda c: [f for w in restorer.chunk(c) for f in features(w) if f in stems], 100_000)
-        return lambda text, y: (y, sorted(f for f in said(*tally(restorer, cache, text)) if f in names.value))
-    held = rows_pass(rows, ["_t", "_y"], "y int, found array<string>", which).collect()       # 2 * per_class rows as expected
-    model["weights"] = boost(sorted((r["y"], r["found"]) for r in held))
+        number = names.value
+        return lambda text, y: (y, np.array(sorted(number[f] for f in said(*tally(restorer, cache, text)) if f in number), np.int32).tobytes())
+    held = rows_pass(rows, ["_t", "_y"], "y int, found binary", which).toLocalIterator()       # 2 * per_class rows as expected
+    held = sorted((r["y"], bytes(r["found"])) for r in held)
+    model["weights"] = boost([(y, np.frombuffer(x, np.int32)) for y, x in held], known)
     return model
 
 
