@@ -96,8 +96,14 @@ class WordEncoder:
             if self.special is not None and self.special(w):
                 by_word[w] = self.bytes_of(self.tokenizer.encode(" " + w, add_special_tokens=False).ids)
                 continue
+            # most words are Latin letters, some with a stop or comma after them: one piece, or two
+            core = w[:-1] if w[-1:] in (".", ",") else w
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+                cut = (" " + core,) if core is w or core == w else (" " + core, w[-1])
+            else:
+                cut = self.pieces(" " + w)
             out = []
-            for x in self.pieces(" " + w):
+            for x in cut:
                 if (ids := by_piece.get(x)) is None:
                     ids = by_piece[x] = self.bytes_of([t.id for t in tokenize(x.encode().decode("latin-1").translate(letters))])
                 out.append(ids)
