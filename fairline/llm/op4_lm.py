@@ -10,8 +10,9 @@ P(word | previous) mixes the pair's share of the previous word, with weight 1 -
 are exact. A text starts after a border and ends with an end token.
 
 The filter is cut into shards by hash, each built by one task out of the keys dealt to it; it grows with the corpus, PER_KEY bits for
-each training token. Up to `limit` bytes it is broadcast. Beyond that, levels are joined instead: pairs of each text are summed up by
-text first, and meet the table of levels by key, so nothing unbounded is sent anywhere; scores then lack only the filter's errors.
+each training token. Up to `limit` bytes it is broadcast. Beyond that the shards stay in the shared folder, and keys go to their shard:
+each key that any text asks for is sent once to the task that holds its shard's cells and is probed there, and the levels read go back
+to the texts' pairs by key. So scores are the same at every size, the filter's errors included.
 
 The base score needs exact word counts. The most frequent words, at most `head` of them, are broadcast with their counts; all other
 words, rare by definition, are joined by key.
@@ -228,6 +229,30 @@ class Filter:
         return out
 
 
+def probe(asked: DataFrame, cells: DataFrame, shards: int, bits: int) -> DataFrame:
+    """(key, q) for each of the keys asked for, read from its shard; a task holds one shard at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        held, of = None, -1
+        for batch in batches:
+            shard, key = batch.column(0).to_numpy(), batch.column(1)
+            border = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])).tolist() + [len(shard)]
+            for begin, end in zip(border, border[1:]):
+                if shard[begin] != of:                                  # the cells come before the shard's keys
+                    held, of = np.frombuffer(batch.column(2)[begin].as_py(), np.uint8), shard[begin]
+                    begin += 1
+                if begin < end:
+                    k = key.slice(begin, end - begin)
+                    q = Filter(1, bits, held).levels(k.to_numpy(zero_copy_only=False).view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([k, pa.array(q)], names=["key", "q"])
+    where = F.pmod(F.shiftrightunsigned("key", 40), F.lit(shards)).cast("int")
+    keys = asked.select(where.alias("shard"), "key", F.lit(None).cast("binary").alias("cells"))
+    # a shard whose keys were all empty was not built: its cells are zeros
+    empty = F.lit(bytes(bits // 8))
+    built = asked.select(where.alias("shard")).distinct().join(cells, "shard", "left").select("shard", F.lit(None).cast("bigint").alias("key"), F.coalesce("cells", empty).alias("cells"))
+    return built.unionByName(keys).repartition("shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first()).mapInArrow(run, "key bigint, q bigint")
+
+
 def log_score(pair, alone, before, n_tokens: int, n_words: int, lam: float):
     """log10 P of each word, from the counts of the pair, of the word and of the word before."""
     import numpy as np
@@ -237,8 +262,8 @@ def log_score(pair, alone, before, n_tokens: int, n_words: int, lam: float):
 
 
 def learn(train: DataFrame, text_col: str = "text", limit: int = 256 << 20, head: int = 500_000) -> dict:
-    """What scoring needs: N, V, number of texts, exact counts of the most frequent words and the table of all, and the filter or the
-    table of levels."""
+    """What scoring needs: N, V, number of texts, exact counts of the most frequent words and the table of all, and the filter:
+    its cells, or beyond `limit` bytes the table of its shards."""
     import numpy as np
     words = settle(count_words(train, text_col), "words")
     step = F.floor(F.log("n") * 20).cast("int")
@@ -255,16 +280,15 @@ def learn(train: DataFrame, text_col: str = "text", limit: int = 256 << 20, head
     ends = words.where(F.col("word") == END).first()
     shards = max(1, -(-total // SHARD))
     bits = -(-PER_KEY * (total + v) // shards // 64) * 64 + 64
-    model = {"N": total, "V": v, "starts": ends["n"] if ends else 0, "frequent": frequent, "whole": whole, "least": least, "words": words, "shards": shards, "bits": bits, "cells": None, "levels": None}
-    keys = count_keys(train, words, text_col)
+    model = {"N": total, "V": v, "starts": ends["n"] if ends else 0, "frequent": frequent, "whole": whole, "least": least, "words": words, "shards": shards, "bits": bits, "cells": None, "filter": None}
+    built = filter_shards(count_keys(train, words, text_col), shards, bits)
     if shards * bits // 8 <= limit:
         cells = np.zeros((shards, bits // 8), np.uint8)
-        for r in filter_shards(keys, shards, bits).toLocalIterator():          # `limit` bytes at most
+        for r in built.toLocalIterator():          # `limit` bytes at most
             cells[r["shard"]] = np.frombuffer(r["cells"], np.uint8)
         model["cells"] = cells.ravel()
     else:
-        q = F.floor(F.log("n") / math.log(BASE) + 1e-9).cast("int") + 1
-        model["levels"] = settle(keys.groupBy("key").agg(F.sum("n").alias("n")).select("key", q.alias("q")), "levels")
+        model["filter"] = settle(built, "filter")
     return model
 
 
@@ -333,11 +357,14 @@ def score_texts(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
         out = out.join(found, "rid", "left").withColumn("n_known", F.col("n_known") + F.coalesce("more", F.lit(0))).withColumn("base_score", F.col("base_score") + F.coalesce("add", F.lit(0.0)))
     if joined:
         p = rows.select("rid", F.explode("pairs").alias("p")).select("rid", "p.*")
+        asked = p.select(F.explode(F.array("pair", "word", "before")).alias("key")).where(F.col("key").isNotNull()).distinct()
+        # a key that is not in the table of the levels read has level 0
+        read = settle(probe(asked, model["filter"], model["shards"], model["bits"]).where("q > 0"), "read")
         for key in ("pair", "word", "before"):
             # the middle of the counts that a level stands for
             q = F.col("q").cast("double")
             low, high = F.ceil(F.pow(F.lit(BASE), q - 1) - 1e-9), F.ceil(F.pow(F.lit(BASE), q) - 1e-9) - 1
-            table = model["levels"].select(F.col("key").alias("_key"), ((low + F.greatest(low, high)) / 2).alias(f"c_{key}"))
+            table = read.select(F.col("key").alias("_key"), ((low + F.greatest(low, high)) / 2).alias(f"c_{key}"))
             p = p.join(table, F.col(key) == F.col("_key"), "left").drop("_key")
         word = (F.coalesce("c_word", F.lit(0.0)) + 1) / (n_all + v_all + 1)
         prev = F.when(F.col("before").isNull(), F.lit(float(starts))).otherwise(F.coalesce("c_before", F.lit(0.0)))
