@@ -8,11 +8,13 @@ the same way.
 
 Score: a feature says that a restored word, or a beginning of 3 to 9 letters of one, occurs 1, 2, 3 or 5 times at least, or that the
 text has so many words. Features are added one after another to a logistic model, each time the one that improves the fit most. So
-words that merely stand in copies of a toxic document win no weight once its toxic words have theirs.
+words that merely stand in copies of a toxic document win no weight once its toxic words have theirs. All features of the sample are
+ranked by what they would improve: the best `batch` come to the fit, all others are ranked again under the model so found, and so on
+until none outside the fit gains enough to be added.
 
 Fitting takes a sample of labelled rows, `per_class` of each class as expected, chosen by a hash of the id; the bound is that parameter.
 Null and empty texts have no features and get the score of documents without any. Repeated ids in labels count once, as toxic if any
-is; null labels are left out. Without labels of both classes no feature is chosen, and the score is the share of toxic rows or 0.
+is; null labels are left out. A text counts once in the fit, however many rows hold it, as toxic if any of them is. Without labels of both classes no feature is chosen, and the score is the share of toxic rows or 0.
 """
 from __future__ import annotations
 
@@ -199,10 +201,14 @@ def said(n: Counter, size: int) -> Iterator[str]:
             yield f">{t}"
 
 
-def boost(rows: list[tuple], names: list[str], rounds: int = 1000, ridge: float = 3.0, gain: float = 8.0) -> dict[str, float]:
+#: Added to the curvature of a feature; what a feature must gain to be added.
+RIDGE, GAIN = 3.0, 8.0
+
+
+def boost(rows: list[tuple], names: list[str], rounds: int = 1000, ridge: float = RIDGE, gain: float = GAIN) -> tuple[dict[str, float], dict[str, float]]:
     """Weights of a logistic model by feature, "" for the intercept; rows: label and numbers of the features in it. Each round moves the
     weight of the feature that improves the fit most by a small step, so that words which occur together all come in; at last the weights
-    of those that are in are fitted."""
+    of those that are in are fitted. Also gives the weights before that, under which no feature gained enough."""
     import numpy as np
     y = np.array([r[0] for r in rows], float)
     row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
@@ -210,6 +216,7 @@ def boost(rows: list[tuple], names: list[str], rounds: int = 1000, ridge: float
     order = np.argsort(col, kind="stable")
     by_col, edges = row[order], np.searchsorted(col[order], np.arange(len(names) + 1))
     inside: list[int] = []
+    moved: Counter = Counter()
     start = float(np.log(y.mean() / (1 - y.mean())))
     z = np.zeros(len(rows))
     for _ in range(rounds):
@@ -226,7 +233,9 @@ def boost(rows: list[tuple], names: list[str], rounds: int = 1000, ridge: float
         k = int(max(np.flatnonzero(won >= won.max() * 0.999), key=lambda j: (len(names[j]), names[j])))
         if k not in inside:
             inside.append(k)
-        z[by_col[edges[k]:edges[k + 1]]] += np.clip(g[k] / h[k], -1, 1)
+        step = float(np.clip(g[k] / h[k], -1, 1))
+        moved[k] += step
+        z[by_col[edges[k]:edges[k + 1]]] += step
     x = np.zeros((len(rows), len(inside) + 1))
     x[:, 0] = 1
     for j, k in enumerate(inside):
@@ -236,50 +245,49 @@ def boost(rows: list[tuple], names: list[str], rounds: int = 1000, ridge: float
     for _ in range(50):                                                 # Newton steps with a weak pull to zero
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w = w + np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (y - p) - pull * w), -1, 1)
-    return {"": float(w[0])} | {names[k]: float(v) for k, v in zip(inside, w[1:])}
+    return {"": float(w[0])} | {names[k]: float(v) for k, v in zip(inside, w[1:])}, {"": start} | {names[k]: moved[k] for k in inside}
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, candidates: int = 4000, least: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
-    """The model: character counts of the corpus and weights of features. `candidates`: features among which the fit chooses."""
-    import numpy as np
-    spark = docs.sparkSession
-    counts = [tuple(r) for r in char_counts(docs, text_col).collect()]          # at most SIZE ** 3 rows
-    chars = spark.sparkContext.broadcast(counts)
-    picked = sample_labels(labels, per_class, id_col, label_col)
-    # the sample is bounded by per_class, so its ids may be broadcast; repeated ids count once
-    rows = settle(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min("_t").alias("_t"), F.max("_y").alias("_y"))
-                  .select("_t", (F.col("_y") > 0).cast("int").alias("_y")).repartition(4 * spark.sparkContext.defaultParallelism), "labelled")
-    totals = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
-    toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    model = {"chars": counts, "weights": {"": -20.0 if not toxic else 20.0 if not clean else 0.0}}
-    if not toxic or not clean:
-        return model
+def best_features(rows: DataFrame, chars, stage: dict, known: set):
+    """f of all features outside `known` that gain enough under the model `stage`, best first."""
+    held, one = rows.sparkSession.sparkContext.broadcast((stage, known)), 1 << 30
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import math
         forget()
         restorer = Restorer(CharModel(chars.value))
         cache = Cache(lambda c: [f for w in restorer.chunk(c) for f in features(w)], 40_000)
+        weights, inside = held.value
         n: dict[str, list[int]] = defaultdict(lambda: [0, 0])
 
         def send():
-            return pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array([v[0] for v in n.values()], pa.int64()), pa.array([v[1] for v in n.values()], pa.int64())], names=["f", "clean", "toxic"])
+            return pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array([v[0] for v in n.values()], pa.int64()), pa.array([v[1] for v in n.values()], pa.int64())], names=["f", "g", "h"])
         for batch in batches:
             for text, y in zip(*(c.to_pylist() for c in batch.columns)):
-                for f in said(*tally(restorer, cache, text)):
-                    n[f][y] += 1
+                found = list(said(*tally(restorer, cache, text)))
+                z = weights[""] + math.fsum(weights.get(f, 0.0) for f in found)
+                p = 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+                g, h = round((y - p) * one), round(p * (1 - p) * one)               # whole numbers: sums do not depend on their order
+                for f in found:
+                    if f not in inside:
+                        v = n[f]
+                        v[0] += g
+                        v[1] += h
                 if len(n) > 200_000:
                     yield send()
                     n.clear()
         if n:
             yield send()
 
-    seen = rows.mapInArrow(count, "f string, clean bigint, toxic bigint").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    base = toxic / (toxic + clean)
-    n, more = F.col("toxic") + F.col("clean"), F.col("toxic") - base * (F.col("toxic") + F.col("clean"))
-    # words that occur often in few copies gain like toxic ones here; the fit tells them apart
-    best = seen.where((F.col("toxic") >= least) & (more > 0) & ~F.col("f").startswith(">")).orderBy(F.desc(more * more / (n * base * (1 - base) + 3)), F.desc(F.length("f")), "f").limit(candidates)
-    known = sorted({r["f"] for r in best.select("f").collect()} | {f">{t}" for t in WORDS})
-    names = spark.sparkContext.broadcast({f: k for k, f in enumerate(known)})
+    seen = rows.mapInArrow(count, "f string, g bigint, h bigint").groupBy("f").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    g, h = F.col("g") / one, F.col("h") / one
+    return seen.select("f", (g * g / (h + RIDGE)).alias("won")).where(F.col("won") >= GAIN).orderBy(F.desc("won"), F.desc(F.length("f")), "f")
+
+
+def numbered(rows: DataFrame, chars, known: list[str]) -> DataFrame:
+    """y, found: label of each row and the numbers of the known features in it."""
+    import numpy as np
+    names = rows.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(known)})
 
     def which():
         restorer = Restorer(CharModel(chars.value))
@@ -287,10 +295,35 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, candidates: i
         cache = Cache(lambda c: [f for w in restorer.chunk(c) for f in features(w) if f in stems], 100_000)
         number = names.value
         return lambda text, y: (y, np.array(sorted(number[f] for f in said(*tally(restorer, cache, text)) if f in number), np.int32).tobytes())
-    held = rows_pass(rows, ["_t", "_y"], "y int, found binary", which).toLocalIterator()       # 2 * per_class rows as expected
-    held = sorted((r["y"], bytes(r["found"])) for r in held)
-    model["weights"] = boost([(y, np.frombuffer(x, np.int32)) for y, x in held], known)
-    return model
+    return rows_pass(rows, ["_t", "_y"], "y int, found binary", which)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, batch: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
+    """The model: character counts of the corpus and weights of features. `batch`: features that come to the fit at a time."""
+    import numpy as np
+    spark = docs.sparkSession
+    counts = [tuple(r) for r in char_counts(docs, text_col).collect()]          # at most SIZE ** 3 rows
+    chars = spark.sparkContext.broadcast(counts)
+    picked = sample_labels(labels, per_class, id_col, label_col)
+    # the sample is bounded by per_class, so its ids may be broadcast; repeated ids count once
+    rows = settle(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min("_t").alias("_t"), F.max("_y").alias("_y"))
+                  .repartition(4 * spark.sparkContext.defaultParallelism, "_t").groupBy("_t").agg((F.max("_y") > 0).cast("int").alias("_y")), "labelled")
+    totals = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
+    toxic, clean = totals.get(1, 0), totals.get(0, 0)
+    model = {"chars": counts, "weights": {"": -20.0 if not toxic else 20.0 if not clean else 0.0}}
+    if not toxic or not clean:
+        return model
+
+    known, stage, fitted = {f">{t}" for t in WORDS}, {"": float(np.log(toxic / clean))}, False
+    while True:
+        new = {r["f"] for r in best_features(rows, chars, stage, known).limit(batch).select("f").collect()}
+        if not new and fitted:
+            return model
+        known, fitted = known | new, True
+        names = sorted(known)
+        held = numbered(rows, chars, names).toLocalIterator()                       # 2 * per_class rows as expected
+        held = sorted((r["y"], bytes(r["found"])) for r in held)
+        model["weights"], stage = boost([(y, np.frombuffer(x, np.int32)) for y, x in held], names)
 
 
 def scorer(model: dict):

@@ -15,3 +15,18 @@ def test_lm_scores_do_not_depend_on_the_broadcast(spark, monkeypatch):
     assert near["shards"] > 1 and near["cells"] is not None and far["cells"] is None
     a, b = ({r["id"]: r["score"] for r in op4_lm.score_texts(docs, m).collect()} for m in (near, far))
     assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-6 * abs(a[i]) for i in a)
+
+
+@pytest.mark.parametrize("tail", ["", "q{}x"])
+def test_long_copies_do_not_hide_toxic_words(spark, tail):
+    import random
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(9))
+    usual = [word() for _ in range(300)]
+    long = " ".join(word() for _ in range(1500))
+    say = lambda: " ".join(rng.choices(usual, k=12))                                 # noqa: E731
+    rows = [(k, say() + " idiot " + say(), 1) for k in range(35)] + [(k, say(), 0) for k in range(100, 500)] + [(k, long + " " + tail.format(k), 1) for k in range(1000, 1070)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(4)
+    score = op10_toxicity.scorer(op10_toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic")))
+    assert score(say() + " idiot") > 0.5 and score(say()) < 0.5
+    assert not tail or score(long) > 0.5                                             # copies that are all alike are one text, too few to learn from
