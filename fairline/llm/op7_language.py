@@ -8,8 +8,11 @@ Many texts are labelled at once as one sequence with cuts at the borders. The se
 their transfer matrix, the matrices are chained, then all blocks run forward and backward side by side. That is exact and
 needs no padding.
 
-Training takes a sample of labelled rows: about `per_class` rows of each label, chosen by a hash of the id among texts of at most
-`longest` code points; both are parameters. Training sequences mix pieces of texts of different labels, so that switches are seen.
+A run of letters without a break is read whole: beyond PIECE letters it is cut into consecutive pieces, each a position of the chain like a
+word. In scripts that are written without spaces each letter is a position.
+
+Training takes a sample of labelled rows: about `per_class` rows of each label, chosen by a hash of the id. Of a text of more than `longest`
+code points it takes a stretch of that length, whose place the hash chooses; both are parameters. Training sequences mix pieces of texts of different labels, so that switches are seen.
 
 A null text or one without letters is `und` with score 0. Repeated rows give a row each. With no labelled row all is `und`. Rows whose
 label is null teach nothing.
@@ -26,22 +29,25 @@ from pyspark.sql import DataFrame, functions as F
 from .common import once, remainder
 
 BITS, FEATURES = 18, 58
-WORD = re.compile(r"[^\W\d_]+")
+#: Most letters of a position of the chain.
+PIECE = 24
+#: Scripts without spaces: Thai to Tibetan, Myanmar, Khmer, kana, ideographs.
+UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W\d_{UNSPACED}]{{1,{PIECE}}}|[^\W\d_]")
 #: Words in a forward-backward run; more are done in the next run.
 RUN = 200_000
 
 
 def word_features(words: list[str]):
-    """Hashed rows of the words' features, (words, FEATURES); row 2 ** BITS stands for none. A word of over 24 letters is seen by its
-    first and last 12."""
+    """Hashed rows of the words' features, (words, FEATURES); row 2 ** BITS stands for none. Words are of PIECE letters at most, as
+    WORD finds them."""
     import numpy as np
-    cut = [w if len(w) <= 24 else w[:12] + w[-12:] for w in words]
-    c = np.array(cut, dtype="U24").view(np.uint32).reshape(len(cut), 24)
+    c = np.array(words, dtype=f"U{PIECE}").view(np.uint32).reshape(len(words), PIECE)
     n = (c != 0).sum(1)
-    b = np.zeros((len(cut), 27), np.uint32)                 # <word> and an empty place
+    b = np.zeros((len(words), 27), np.uint32)                 # <word> and an empty place
     b[:, 0] = 60
     b[:, 1:25] = c
-    b[np.arange(len(cut)), n + 1] = 62
+    b[np.arange(len(words)), n + 1] = 62
     none = np.uint32(1 << BITS)
 
     def row(h, salt, there):
@@ -49,13 +55,13 @@ def word_features(words: list[str]):
         h = (h ^ (h >> np.uint32(15))) * np.uint32(2246822519)
         return np.where(there, (h ^ (h >> np.uint32(13))) & np.uint32((1 << BITS) - 1), none)
     mul = np.uint32(16777619)
-    out = np.empty((len(cut), FEATURES), np.uint32)
-    whole = np.zeros(len(cut), np.uint32)
+    out = np.empty((len(words), FEATURES), np.uint32)
+    whole = np.zeros(len(words), np.uint32)
     for k in range(24):
         whole = whole * mul + c[:, k]
     out[:, 0] = row(whole, 1, True)
-    head, tail = np.zeros(len(cut), np.uint32), np.zeros(len(cut), np.uint32)
-    rows = np.arange(len(cut))
+    head, tail = np.zeros(len(words), np.uint32), np.zeros(len(words), np.uint32)
+    rows = np.arange(len(words))
     for k in range(4):
         head = head * mul + c[:, k]
         out[:, 1 + k] = row(head, 11 + k, n > k)
@@ -265,14 +271,16 @@ def worker_labeller(model: Model | None):
 
 def fit(docs: DataFrame, per_class: int = 300, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
     """Train on the driver on a sample of at most about per_class rows of each label."""
-    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(
+    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("t"), F.col(label_col).alias("y"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)).alias("h"))
+    # by the text alone, so that copies give the same stretch
+    start = F.pmod(F.xxhash64("t"), F.greatest(F.length("t") - longest, F.lit(0)) + 1).cast("int") + 1
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for y, n in sizes.items() for x in (y, min(1.0, per_class / n) * (1 << 30))])
     # copies count once: they say nothing new
-    held = rows.where(F.col("h") < share[F.col("y")]).select("t", "y").distinct()
+    held = rows.where(F.col("h") < share[F.col("y")]).select(F.substring("t", start, F.lit(longest)).alias("t"), "y").distinct()
     return train([(r["t"], r["y"]) for r in held.toLocalIterator()])
 
 
