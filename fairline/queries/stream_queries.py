@@ -35,8 +35,8 @@ where w < (select time_bucket(interval 1 day, max(ts)) from odds_ticks) group by
 def l16(spark, sf):
     """Daily windows; the last one stays open until the watermark passes it and is not emitted yet."""
     out = ST.run_available(ST.line_movement(tick_stream(spark, sf), ["market_id"], "1 day"), "ohlc", shared_dir(spark))
-    last = F.date_trunc("day", F.lit("2024-01-30").cast("timestamp"))
-    return rounded(out.where(F.col("window_start") < last).withColumn("window_start", F.col("window_start").cast("string")), "market_id", "window_start")
+    last = view(spark, sf, "odds_ticks").agg(F.date_trunc("day", F.max(F.col("ts").cast("timestamp"))).alias("_last"))
+    return rounded(out.join(F.broadcast(last), F.col("window_start") < F.col("_last")).drop("_last").withColumn("window_start", F.col("window_start").cast("string")), "market_id", "window_start")
 
 
 @query("L16_quote_sessions")
