@@ -153,3 +153,63 @@ FROM p LEFT JOIN b ON p.d = b.d"""
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op2_warc import round_trip
     return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+# ---- 12: filter interaction audit
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT part,
+    (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1) AS good,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) AS toxic FROM d),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter,
+        1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+        list_sum([0] || [1 << (ascii(substr(filter_order, k, 1)) - 65) for k in range(1, step)])::INT AS before
+      FROM o, unnest(range(1, 6)) AS u(step)),
+r AS (SELECT part, filter_order, step, letter,
+        count(*) FILTER (mask & (before + bit) = 0) AS kept,
+        count(*) FILTER (mask & before = 0 AND mask & bit > 0) AS removed,
+        count(*) FILTER (mask & before > 0 AND mask & bit > 0) AS redundant,
+        count(*) FILTER (mask = bit) AS unique_fails,
+        count(*) FILTER (mask & before = 0 AND mask & bit > 0 AND good) AS good_lost,
+        count(*) FILTER (mask & before = 0 AND mask & bit > 0 AND toxic) AS toxic_lost
+      FROM f, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley
+FROM r"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op12_audit import report
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# ---- 13: fill-in-middle
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), lambda x: length(x)) AS w FROM documents),
+n AS (SELECT *, len(w)::BIGINT AS n, [('0x' || substr(h, 8 * k + 1, 8))::UBIGINT::BIGINT for k in range(0, 4)] AS g FROM d),
+c AS (SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS lo, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS hi,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR g[3] % 100 >= 50 THEN 'plain'
+         WHEN g[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, coalesce(list_sum(w[1:lo]), 0)::BIGINT AS a, coalesce(list_sum(w[1:hi]), 0)::BIGINT AS b FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text
+    WHEN 'psm' THEN '<P>' || substr(text, 1, a) || '<S>' || substr(text, b + 1) || '<M>' || substr(text, a + 1, b - a)
+    ELSE '<S>' || substr(text, b + 1) || '<P>' || substr(text, 1, a) || '<M>' || substr(text, a + 1, b - a) END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p"""
+
+
+@query("op13_fill_in_middle", OP13_SQL)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op13_fim import report
+    return report(table(spark, sf_dir, "documents"))
