@@ -213,3 +213,23 @@ FROM p"""
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op13_fim import report
     return report(table(spark, sf_dir, "documents"))
+
+
+# ---- 11: substring dedup
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS u(i)),
+m AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS owner FROM s) WHERE owner < doc_id),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM m, unnest(range(0, 13)) AS v(k)),
+x AS (SELECT doc_id, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+k AS (SELECT doc_id, count(c.i) AS n_removed, string_agg(word, ' ' ORDER BY x.i) FILTER (c.i IS NULL) AS kept
+      FROM x LEFT JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
+
+
+@query("op11_repeats", OP11_SQL)
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op11_repeats import report
+    return report(table(spark, sf_dir, "documents"))
