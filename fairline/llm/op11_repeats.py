@@ -4,14 +4,16 @@ A phrase is a run of `words` words that starts in more than one document; its ow
 covers go from every document but the owner.
 
 Documents are dealt into parts of bounded size, by a hash, once. Work that meets across documents is sent per part, not per document,
-so a phrase in a third of all documents comes once from each part.
+so a phrase in a third of all documents comes once from each part. Of equal texts only that of the smallest id is searched: its phrases
+own or are owned alike, and the others lose all their words.
 
 1. Anchors: of the `gram`-word runs in a phrase, the one with the smallest hash. Equal phrases have equal anchors, and neighbours mostly
    share theirs, so a quarter as many anchors as phrases travel. Those of two documents or more are sent back to their parts.
 2. Confirmation: each part digests the words of the phrases over such an anchor (BLAKE2, 128 bits). Phrases met in two documents are
    confirmed; each part that holds one outside its owner gets the owner's id and a place in the part where the words stand.
-3. Automata: in each part, confirmed phrases are compiled into Aho-Corasick automata of at most `shard` phrases, their words written as
-   code points, and all documents of the part are streamed through them, which finds every occurrence.
+3. Automata: in each part, confirmed phrases are compiled into Aho-Corasick automata of at most `shard` phrases, and all documents of the
+   part are streamed through them, which finds every occurrence. Words are written with a fixed number of digits: a node's links are
+   searched one by one, so nodes must have few.
 
 A part's automata hold the phrases of that part alone: the work grows with the text, not with texts times phrases. Memory is that of one
 part, or of one document where that is longer, and of one automaton.
@@ -28,8 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-WORDS, GRAM = 13, 7
-PART, SHARD = 8 << 20, 50_000
+WORDS, GRAM = 13, 6
+PART, SHARD = 8 << 20, 30_000
+#: Digits of the automata's words.
+BASE = 32
 #: Partitions at most; beyond that a partition holds several parts, one after the other.
 PARTITIONS = 50_000
 LAST = (1 << 63) - 1
@@ -44,22 +48,31 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Part:
-    """Words of the documents of a part, in the order of row keys, which is the same in each pass."""
+    """Words of the searched documents of a part, in the order of row keys, which is the same in each pass.
 
-    def __init__(self, rows: pa.Table):
+    `lists` are the rows (kind, x, y) sent to the part: 0, the key of a row to search; 1, an anchor; 2, a phrase's place and its owner.
+    """
+
+    def __init__(self, rows: pa.Table, lists: pa.Table):
         rows = rows.sort_by("rid")
+        kind, self._x, self._y = (lists.column(c).to_numpy() for c in ("kind", "x", "y"))
+        self._of = [np.flatnonzero(kind == k) for k in range(3)]
         self.rows = rows
+        self.searched = np.isin(rows.column("rid").to_numpy(), self._x[self._of[0]])
         self.ids = rows.column("id").fill_null(LAST).to_numpy()
-        self.texts = rows.column("text")
         counts, self.words = [], []
-        for text in self.texts:
-            w = (text.as_py() or "").encode().split()
+        for text, searched in zip(rows.column("text"), self.searched.tolist()):
+            w = (text.as_py() or "").encode().split() if searched else ()
             counts.append(len(w))
             self.words += w
         self.ends = np.cumsum(counts, dtype=np.int64)
         self.starts = self.ends - counts
         self.doc = np.repeat(np.arange(len(counts)), counts)
 
+    def sent(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        at = self._of[kind]
+        return self._x[at], self._y[at]
+
     def anchors(self, words: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
         """Places where a run of `words` words starts, and the anchor of each."""
         from xxhash import xxh3_64_intdigest
@@ -89,9 +102,9 @@ def groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def part_anchors(rows: pa.Table, words: int, gram: int) -> pa.Table:
+def part_anchors(rows: pa.Table, lists: pa.Table, words: int, gram: int) -> pa.Table:
     """part, h, docs: each anchor of the part once, with the number of documents if that is one, else two."""
-    part = Part(rows)
+    part = Part(rows, lists)
     at, low = part.anchors(words, gram)
     doc = part.doc[at]
     order, first = groups(low)
@@ -100,14 +113,14 @@ def part_anchors(rows: pa.Table, words: int, gram: int) -> pa.Table:
     return pa.table({"part": pa.array(np.full(len(first), number, np.int32)), "h": pa.array(low[order][first].view(np.int64)), "docs": pa.array(docs.astype(np.int32))})
 
 
-def part_phrases(rows: pa.Table, known: pa.Table, words: int, gram: int) -> pa.Table:
+def part_phrases(rows: pa.Table, lists: pa.Table, words: int, gram: int) -> pa.Table:
     """part, a, b, lo, hi, at: each phrase over a known anchor once, by its digest, with the smallest and largest id and a place."""
     empty = pa.table({"part": pa.array([], pa.int32()), **{c: pa.array([], pa.int64()) for c in ("a", "b", "lo", "hi", "at")}})
-    if not rows.num_rows or not known.num_rows:
+    part = Part(rows, lists)
+    h = np.sort(part.sent(1)[0].view(np.uint64))
+    if not len(h):
         return empty
-    part = Part(rows)
     at, low = part.anchors(words, gram)
-    h = np.sort(known.column("h").to_numpy().view(np.uint64))
     place = np.minimum(np.searchsorted(h, low), len(h) - 1)
     at = at[h[place] == low]
     if not len(at):
@@ -123,36 +136,43 @@ def part_phrases(rows: pa.Table, known: pa.Table, words: int, gram: int) -> pa.T
 
 
 def automaton(phrases: list[list[bytes]], owners: list[int]):
-    """An Aho-Corasick automaton over code points that stand for words, and the code point of each word."""
+    """An Aho-Corasick automaton over written words, how each word is written, and the number of signs of a word.
+
+    Each digit has signs of its own, so a match begins and ends with words. The sign 0 is in no word.
+    """
     import ahocorasick
-    code: dict[bytes, str] = {}
+    number: dict[bytes, int] = {}
+    for phrase in phrases:
+        for w in phrase:
+            number.setdefault(w, len(number))
+    digits = 1
+    while BASE ** digits < len(number):
+        digits += 1
+    written = {w: "".join([chr(1 + j * BASE + k // BASE ** j % BASE) for j in range(digits)]) for w, k in number.items()}
     found = ahocorasick.Automaton()
     for phrase, owner in zip(phrases, owners):
-        for w in phrase:
-            if w not in code:
-                k = len(code) + 1
-                code[w] = chr(k if k < 0xD800 else k + 0x800)              # code points without the surrogates
-        found.add_word("".join([code[w] for w in phrase]), owner)
+        found.add_word("".join([written[w] for w in phrase]), owner)
     found.make_automaton()
-    return found, code
+    return found, written, digits
 
 
-def part_spans(rows: pa.Table, known: pa.Table, words: int, shard: int) -> pa.Table:
+def part_spans(rows: pa.Table, lists: pa.Table, words: int, shard: int) -> pa.Table:
     """The rows of the part with their number of words and the spans of words that a smaller id's phrase covers."""
-    part = Part(rows)
+    part = Part(rows, lists)
     n = len(part.words)
     edge = np.zeros(n + 1, np.int32)
-    if n and known.num_rows:
-        known = known.sort_by("at")
-        places, owners, doc, ids = known.column("at").to_pylist(), known.column("owner").to_pylist(), part.doc, part.ids
-        for k in range(0, len(places), shard):
-            found, code = automaton([part.words[i:i + words] for i in places[k:k + shard]], owners[k:k + shard])
-            get = code.get
-            hits = np.fromiter((x for end, owner in found.iter("".join([get(w, "\0") for w in part.words])) for x in (end, owner)), np.int64).reshape(-1, 2)
-            end, start = hits[:, 0], hits[:, 0] - words + 1
-            take = (doc[start] == doc[end]) & (hits[:, 1] < ids[doc[end]])
-            np.add.at(edge, start[take], 1)
-            np.add.at(edge, end[take] + 1, -1)
+    places, owners = part.sent(2)
+    order, doc, ids = np.argsort(places), part.doc, part.ids
+    places, owners = places[order].tolist(), owners[order].tolist()
+    for k in range(0, len(places), shard):
+        found, written, digits = automaton([part.words[i:i + words] for i in places[k:k + shard]], owners[k:k + shard])
+        get, none = written.get, "\0" * digits
+        hits = np.fromiter((x for hit in found.iter("".join([get(w, none) for w in part.words])) for x in hit), np.int64).reshape(-1, 2)
+        end = hits[:, 0] // digits
+        start = end - words + 1
+        take = (doc[start] == doc[end]) & (hits[:, 1] < ids[doc[end]])
+        np.add.at(edge, start[take], 1)
+        np.add.at(edge, end[take] + 1, -1)
     covered = np.cumsum(edge[:-1]) > 0
     # a span starts where a covered word follows an uncovered one or another document's
     new_doc = np.zeros(n + 1, bool)
@@ -163,14 +183,24 @@ def part_spans(rows: pa.Table, known: pa.Table, words: int, shard: int) -> pa.Ta
     stops = np.flatnonzero(covered & (~after | new_doc[1:])) + 1
     of = part.doc[begins]
     base = part.starts[of]
-    spans = np.stack([begins - base, stops - base], 1).ravel()
-    offsets = 2 * np.searchsorted(of, np.arange(rows.num_rows + 1))
-    total = np.concatenate([[0], np.cumsum(covered)])
-    kept = [b" ".join(part.words[s:e]) if a == b else b" ".join([w for w, c in zip(part.words[s:e], covered[s:e].tolist()) if not c])
-            for s, e, a, b in zip(part.starts.tolist(), part.ends.tolist(), total[part.starts].tolist(), total[part.ends].tolist())]
-    return pa.table({"id": part.rows.column("id"), "n_words": pa.array(part.ends - part.starts), "n_removed": pa.array(total[part.ends] - total[part.starts]),
-                     "spans": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(spans, pa.int64())),
-                     "kept": pa.array([x.decode() for x in kept], pa.string())})
+    spans = np.stack([begins - base, stops - base], 1).tolist()
+    of = np.searchsorted(of, np.arange(rows.num_rows + 1)).tolist()
+    out = []
+    for k, text in enumerate(part.rows.column("text")):
+        if part.searched[k]:
+            w, mine = part.words[part.starts[k]:part.ends[k]], spans[of[k]:of[k + 1]]
+        else:
+            w = (text.as_py() or "").encode().split()
+            mine = [[0, len(w)]] if len(w) >= words else []
+        kept, at = [], 0
+        for first, last in mine:
+            kept += w[at:first]
+            at = last
+        kept += w[at:]
+        out.append((len(w), len(w) - len(kept), [x for span in mine for x in span], b" ".join(kept).decode()))
+    n_words, n_removed, spans, kept = map(list, zip(*out))
+    return pa.table({"id": part.rows.column("id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+                     "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.string())})
 
 
 def remove_repeats(docs: DataFrame, words: int = WORDS, gram: int = GRAM, part_bytes: int = PART, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,14 +211,20 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, gram: int = GRAM, part_b
     rid = F.xxhash64("id", "text")
     parts = rows.select(F.pmod(rid, F.lit(n)).cast("int").alias("part"), rid.alias("rid"), "id", "text").repartition(min(n, PARTITIONS), "part")
 
+    # of each text the row with the smallest id, by its key; ids and texts are aggregated map-side
+    least = F.min(F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), rid.alias("rid"))).getField("rid")
+    firsts = rows.groupBy(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")).agg(least.alias("x")).select(
+        F.pmod("x", F.lit(n)).cast("int").alias("part"), F.lit(0).alias("kind"), "x", F.lit(0).cast("bigint").alias("y"))
     by_anchor, by_phrase = Window.partitionBy("h"), Window.partitionBy("a", "b")
-    anchors = parts.groupBy("part").applyInArrow(lambda t: part_anchors(t, words, gram), "part int, h bigint, docs int")
-    shared = anchors.withColumn("docs", F.sum("docs").over(by_anchor)).where("docs > 1").select("part", "h")
-    phrases = parts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(
-        lambda t, k: part_phrases(t, k, words, gram), "part int, a bigint, b bigint, lo bigint, hi bigint, at bigint")
-    owned = phrases.withColumn("owner", F.min("lo").over(by_phrase)).where("owner < hi").select("part", "at", "owner")
-    return parts.groupBy("part").cogroup(owned.groupBy("part")).applyInArrow(
-        lambda t, k: part_spans(t, k, words, shard), "id bigint, n_words bigint, n_removed bigint, spans array<bigint>, kept string").withColumnRenamed("id", id_col)
+
+    def pass_over(lists: DataFrame, fn, schema: str) -> DataFrame:
+        return parts.groupBy("part").cogroup(lists.groupBy("part")).applyInArrow(fn, schema)
+
+    anchors = pass_over(firsts, lambda t, k: part_anchors(t, k, words, gram), "part int, h bigint, docs int")
+    shared = anchors.withColumn("docs", F.sum("docs").over(by_anchor)).where("docs > 1").selectExpr("part", "1 AS kind", "h AS x", "0L AS y")
+    phrases = pass_over(firsts.union(shared), lambda t, k: part_phrases(t, k, words, gram), "part int, a bigint, b bigint, lo bigint, hi bigint, at bigint")
+    owned = phrases.withColumn("owner", F.min("lo").over(by_phrase)).where("owner < hi").selectExpr("part", "2 AS kind", "at AS x", "owner AS y")
+    return pass_over(firsts.union(owned), lambda t, k: part_spans(t, k, words, shard), "id bigint, n_words bigint, n_removed bigint, spans array<bigint>, kept string").withColumnRenamed("id", id_col)
 
 
 def report(docs: DataFrame) -> DataFrame:
