@@ -12,6 +12,7 @@ from ..operators import fuzzy
 from ..plans import live as L
 from ..sources import feeds, files
 from ..session import shared_dir
+from ..streaming import feeds as FD
 from ..streaming import live as ST
 from .backtests import rounded
 from .model_queries import goals
@@ -82,6 +83,27 @@ def l10s(spark, sf):
     return out.where("result <> 'expired'").select("pick_event", "result")
 
 
+@query("L18_feed_isolation", """with t as (select case when book in ('click','view') then book else 'rest' end as source, tick_id, market_id, odds from odds_ticks),
+x as (select source, count(*) as n, count(distinct tick_id) as ids, round(sum(odds),4) as total from t group by source)
+select source, case when source='rest' then 'failed' else 'complete' end as first_status, case when source='rest' then 0 else n end as first_held, 'complete' as status,
+ case when source='rest' then n else 0 end as taken, n as held, ids, total from x""", ("odds_ticks",))
+def l18(spark, sf):
+    """Three feeds of ticks, one of which breaks in the first run and is mended in the second; the others are whole after the first."""
+    t = tick_stream(spark, sf).withColumn("source", F.when(F.col("book").isin("click", "view"), F.col("book")).otherwise("rest"))
+    feed = lambda name: t.where(F.col("source") == name).drop("source")
+    broken = feed("rest").withColumn("odds", F.when(F.col("tick_id") > 0, F.raise_error(F.lit("feed is down")).cast("double")).otherwise(F.col("odds")))
+    folder = f"{shared_dir(spark)}/feeds-{uuid4().hex}"
+    schema = feed("rest").schema
+    first = FD.feed_report(FD.run_feeds({"rest": broken, "click": feed("click"), "view": feed("view")}, folder), FD.feed_rows(spark, folder, schema)).select(
+        "source", F.col("status").alias("first_status"), F.col("held").alias("first_held")).collect()
+    second = FD.run_feeds({x: feed(x) for x in ("click", "rest", "view")}, folder)
+    rows = FD.feed_rows(spark, folder, schema)
+    sums = rows.groupBy("source").agg(F.countDistinct("tick_id").alias("ids"), r(F.sum("odds"), 4).alias("total"))
+    report = FD.feed_report(second, rows).join(spark.createDataFrame(first), "source").join(sums, "source")
+    # a batch counts the rows it read; what a feed took in are those that its table gained
+    return report.select("source", "first_status", "first_held", "status", (F.col("held") - F.col("first_held")).alias("taken"), "held", "ids", "total")
+
+
 @query("M6_streaming_elo")
 def m6(spark, sf):
     m = view(spark, sf, "matches").select("country", "match_id", "match_date", "home", "away", (F.col("fthg") - F.col("ftag")).alias("gd"))
