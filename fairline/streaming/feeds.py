@@ -6,6 +6,7 @@ folder and are read as one table; a source that was never written is simply not
 """
 from __future__ import annotations
 
+import re
 import threading
 from collections.abc import Mapping
 
@@ -43,6 +44,14 @@ class FeedLog(StreamingQueryListener):
             return self._news.wait_for(lambda: run in self.errors, seconds)
 
 
+def _reason(error: str | None) -> str | None:
+    """The innermost message that carries an error class, else the first line."""
+    if not error:
+        return None
+    named = re.findall(r"\[[A-Z][A-Z0-9_.]*\][^\n]*", error)
+    return named[-1] if named else error.strip().split("\n")[0]
+
+
 def _writer(folder: str, source: str):
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/source={source}/epoch={epoch}")
@@ -75,8 +84,8 @@ def run_feeds(sources: Mapping[str, DataFrame], folder: str, patience: float = 3
             if log.ended(str(q.runId), patience):
                 error = log.errors[str(q.runId)]
             epochs = log.rows.get(str(q.runId), {})
-            rows.append((name, "failed" if error else "complete", sum(1 for n in epochs.values() if n), sum(epochs.values()), error.strip().split("\n")[0] if error else None))
-        rows += [(name, "failed", 0, 0, str(e).strip().split("\n")[0]) for name, e in refused.items()]
+            rows.append((name, "failed" if error else "complete", sum(1 for n in epochs.values() if n), sum(epochs.values()), _reason(error)))
+        rows += [(name, "failed", 0, 0, _reason(str(e)) or type(e).__name__) for name, e in refused.items()]
     finally:
         spark.streams.removeListener(log)
     return spark.createDataFrame(rows, STATUS)
