@@ -266,19 +266,3 @@ def price_labels(boosts: DataFrame, direct: Column, combo: Column, grid: Column)
     ev = p * F.col("odds") - 1
     return boosts.withColumns({"fair_prob": p, "method": F.when(sharp, "sharp").when(p.isNotNull(), "grid"), "ev": ev,
                                "verdict": F.when(p.isNull(), "not evaluable").when(ev >= F.when(sharp, 0.03).otherwise(0.08), "play").when(ev >= 0, "marginal").otherwise("avoid")})
-
-
-def find_events_in_text(boosts: DataFrame, events: DataFrame, min_score: float = 1.5) -> DataFrame:
-    """Event a free text is about: best word-run similarity of both teams, on the same day. As no similarity exceeds 1, each
-    team needs at least `min_score` - 1.
-
-    boosts(boost_id, day, text), events(event, day, home, away).
-    """
-    from ..functions.text import countries_to_english, word_grams
-    g = boosts.select("boost_id", "day", F.explode(word_grams(countries_to_english("text"))).alias("w")).withColumn("n", norm_name("w")).select("boost_id", "day", "n").distinct()
-    e = events.select("event", "day", norm_name("home").alias("h"), norm_name("away").alias("a"))
-    sims = fuzzy.similar_names(g.select("day", F.col("n").alias("name")), e.select("day", F.explode(F.array("h", "a")).alias("name")), ["day"], min_score - 1)
-    hit = g.join(sims.withColumnRenamed("l", "n"), "n").groupBy("boost_id", "day", "r").agg(F.max("sim").alias("sim"))
-    x = e.join(hit.select("boost_id", "day", F.col("r").alias("h"), F.col("sim").alias("_h")), ["day", "h"]).join(hit.select("boost_id", "day", F.col("r").alias("a"), F.col("sim").alias("_a")), ["boost_id", "day", "a"])
-    x = x.withColumn("score", F.col("_h") + F.col("_a")).where(F.col("score") >= min_score)
-    return x.groupBy("boost_id").agg(F.max_by(F.struct("event", "score"), F.struct(F.col("score"), F.col("event"))).alias("m")).select("boost_id", "m.*")

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import labels as Y
 from ..functions import odds as O
 from ..functions import score as S
 from ..functions import text as X
@@ -139,8 +140,8 @@ def boosts(spark, sf):
 @query("X5_X6_boost_legs", """select match_id, concat(home, ' gagne et plus de ', cast(1+fthg as varchar), ',5 buts') as text, 2.1::double as orig_odds, (10+fthg)::double as max_stake,
  concat('win:', lower(home), '|over:', cast(fthg+1.5 as double)) as legs from matches""", ("matches",))
 def x5(spark, sf):
-    b = boosts(spark, sf).withColumn("f", X.boost_fields("raw")).select("match_id", "f.*")
-    legs = F.array_join(F.transform(X.parse_legs("text"), lambda x: F.concat(x["kind"], F.lit(":"), F.coalesce(x["line"].cast("string"), x["who"]))), "|")
+    b = boosts(spark, sf).withColumn("f", Y.boost_fields("raw")).select("match_id", "f.*")
+    legs = F.array_join(F.transform(Y.parse_legs("text"), lambda x: F.concat(x["kind"], F.lit(":"), F.coalesce(x["line"].cast("string"), x["who"]))), "|")
     return b.select("match_id", "text", "orig_odds", "max_stake", legs.alias("legs"))
 
 
@@ -148,7 +149,7 @@ def x5(spark, sf):
 def x7(spark, sf):
     m = view(spark, sf, "matches")
     even = F.col("fthg") % 2 == 0
-    return m.select("match_id", X.plain_team(F.when(even, "L'OM").otherwise("Allemagne")).alias("team"),
+    return m.select("match_id", Y.plain_team(F.when(even, "L'OM").otherwise("Allemagne")).alias("team"),
                     X.countries_to_english(F.when(even, "PSG v Allemagne").otherwise("Espagne v Pays de Galles")).alias("en"))
 
 

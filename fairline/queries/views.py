@@ -107,6 +107,28 @@ VIEWS["odds_ticks"] = """
 select event_id as tick_id, ts, cast(user_id % 50 as int) as market_id, event_type as book,
  cast(event_id % 2 as int) as side, 1.05 + value / 50 as odds, props from events"""
 
+# events with names of letters, four an hour; boosts that speak of them in other spellings, hours off, or of no event at all
+VIEWS["label_events"] = """
+select o_orderkey as event, cast(floor(o_orderkey / 4) as bigint) % 10000000 as hour_no,
+ translate(substr(md5(concat('h', cast(o_custkey as varchar(20)))), 1, 8), '0123456789', 'ghijklmnop') as home,
+ translate(substr(md5(concat('a', cast(o_orderkey as varchar(20)))), 1, 8), '0123456789', 'ghijklmnop') as away,
+ translate(substr(md5(concat('p', cast(o_orderkey as varchar(20)))), 1, 8), '0123456789', 'ghijklmnop') as striker,
+ translate(substr(md5(concat('q', cast(o_orderkey as varchar(20)))), 1, 8), '0123456789', 'ghijklmnop') as winger,
+ cast(1.1 as double) + 0.05 * (o_orderkey % 10) as lam_h, cast(0.9 as double) + 0.05 * (o_orderkey % 8) as lam_a
+from orders"""
+
+VIEWS["label_boosts"] = """
+select event as boost_id, hour_no + case event % 5 when 0 then 0 when 1 then 3 when 2 then -4 when 3 then 4 else 5 end as hour_no,
+ event % 13 <> 0 and event % 5 <> 4 as known, kind, cast(1.2 as double) + 0.0973 * (event % 30) as odds,
+ case when event % 13 = 0 then 'qqqqqqqq - zzzzzzzz' when event % 3 = 0 then concat(upper(home), ' - ', away)
+  when event % 3 = 1 then concat('Le match ', home, ' contre ', upper(away)) else concat(substr(home, 1, 7), ' - ', away) end as title,
+ case kind when 0 then concat('CB - Victoire de ', home, ' (1,50 -> 1,80)') when 1 then concat('les ', away, ' gagne ') when 2 then 'Match nul' when 3 then 'Plus de 2,5 buts'
+  when 4 then 'Les deux équipes marquent' when 5 then concat(home, ' gagne et les deux équipes marquent') when 6 then concat('+ de 2,5 buts & victoire de ', away)
+  when 7 then concat(home, ' gagne avec au moins 2 buts d''écart') when 8 then concat('Boost FR - ', away, ' marque 2 buts ou plus') when 9 then concat(home, ' ne perd pas')
+  when 10 then concat('Au moins 4 buts et ', home, ' gagne') when 11 then concat(home, ' mène à la mi-temps et gagne le match') when 12 then concat(home, ' gagne sur un penalty')
+  when 13 then 'Zzzz gagne' when 14 then concat(striker, ' est buteur') else 'Jean marque' end as raw
+from (select *, cast(case when event % 13 = 0 then 3 else event % 16 end as int) as kind from label_events) x"""
+
 _NAME = re.compile(r"\b(from|join)\s+(\w+)")
 
 

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from fairline.functions import labels as Y
 from fairline.functions import odds as O
 from fairline.functions import score as S
 from fairline.functions import stake as K
@@ -43,7 +44,7 @@ def test_names_and_legs(spark):
     sims = [x[0] for x in n.select(X.similarity(F.col("a"), F.col("b"))).collect()]
     assert sims[0] >= .95 and sims[1] < .8
     t = spark.createDataFrame([("Le PSG gagne et Dembélé marque",), ("Plus de 2,5 buts",), ("Quelque chose d'autre",)], "t string")
-    legs = [x[0] for x in t.select(X.parse_legs("t")).collect()]
+    legs = [x[0] for x in t.select(Y.parse_legs("t")).collect()]
     assert [(g.kind, g.who) for g in legs[0]] == [("win", "psg"), ("scores", "dembele")]
     assert legs[1][0].kind == "over" and legs[1][0].line == 2.5 and legs[2] is None
 
