@@ -9,8 +9,21 @@ from pyspark.sql import functions as F
 
 from ..functions import score as S
 
-# Cumulative Poisson(1) probabilities, P(N <= 0) .. P(N <= 12); beyond lies less than one draw of 32 bits.
-POISSON1_CDF = tuple(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(13))
+#: Rows of equal stake and profit up to this number draw their count from the exact distribution, more by its expansion at the normal one.
+EXACT = 24
+
+
+def _poisson_cdf(n: int) -> tuple[float, ...]:
+    """P(N <= 0), P(N <= 1), ... of mean n, until less than one draw of 32 bits lies beyond."""
+    out, term, total = [], math.exp(-n), 0.0
+    while not out or 1 - out[-1] > 2.0 ** -33:
+        total += term
+        out.append(total)
+        term *= n / len(out)
+    return tuple(out)
+
+
+POISSON_CDF = tuple(_poisson_cdf(n) for n in range(1, EXACT + 1))
 
 
 def unit_pnl() -> Column:
@@ -36,22 +49,25 @@ def bet_summary(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.avg((F.col("clv") > 0).cast("double")).alias("clv_positive"))
 
 
-def poisson_weight(u: Column) -> Column:
-    w = F.when(u < POISSON1_CDF[0], 0)
-    for k, c in enumerate(POISSON1_CDF[1:], start=1):
-        w = w.when(u < c, k)
-    return w.otherwise(len(POISSON1_CDF))
+def poisson_count(n: Column, u: Column, z: Column) -> Column:
+    """How often n rows are drawn in all, each Poisson(1) times: Poisson(n), by a uniform draw for few rows, by a normal one for many."""
+    one = F.when(u < POISSON_CDF[0][0], 0)
+    for k, c in enumerate(POISSON_CDF[0][1:], start=1):
+        one = one.when(u < c, k)
+    few = F.size(F.filter(F.element_at(F.array(*(F.array(*map(F.lit, x)) for x in POISSON_CDF)), n.cast("int")), lambda c: c <= u))
+    many = F.greatest(F.lit(0.0), F.floor(n + F.sqrt(n) * z + (z * z - 1) / 6 + 0.5).cast("double"))
+    return F.when(n == 1, one.otherwise(len(POISSON_CDF[0])).cast("double")).when(n <= EXACT, few.cast("double")).otherwise(many)
 
 
 def bootstrap_roi(df: DataFrame, keys: Sequence[str], row_id: Column, replicates: int = 1000,
                   stake: Column | None = None, pnl: Column | None = None, block: Column | None = None) -> DataFrame:
     """Percentile interval of ROI and share of replicates at or below zero.
 
-    Poisson bootstrap: every row (or block) draws its own Poisson(1) count per replicate from an
-    md5 digest, four replicates of 32 bits per digest, so tasks need no shared random state and re-runs after
-    a lost executor repeat the same draws. Replicate sums are combined map-side: what is shuffled
-    is tasks x keys x replicates, never rows x replicates. With `block`, rows are first summed per
-    block and blocks are resampled whole.
+    Poisson bootstrap over sufficient statistics: rows of equal stake and profit are one row with their number n, and draw their count in
+    a replicate at once, as Poisson(n). Draws come from an md5 digest of the smallest row id among them, four of 32 bits per digest, so
+    tasks need no shared random state and re-runs after a lost executor repeat the same draws. Replicate sums are combined map-side: what
+    is shuffled is tasks x keys x replicates, never rows x replicates. With `block`, rows are first summed per block (to nine digits) and blocks are
+    resampled whole.
     """
     stake = F.lit(1.0) if stake is None else stake
     pnl = unit_pnl() if pnl is None else pnl
@@ -59,14 +75,22 @@ def bootstrap_roi(df: DataFrame, keys: Sequence[str], row_id: Column, replicates
         base = df.select(*keys, row_id.cast("string").alias("_id"), stake.alias("_s"), pnl.alias("_g"))
     else:
         base = (df.groupBy(*keys, block.alias("_b")).agg(F.sum(stake).alias("_s"), F.sum(pnl).alias("_g"))
-                .select(*keys, F.col("_b").cast("string").alias("_id"), "_s", "_g"))
+                .select(*keys, F.col("_b").cast("string").alias("_id"), F.round("_s", 9).alias("_s"), F.round("_g", 9).alias("_g")))
+    alike = base.groupBy(*keys, "_s", "_g").agg(F.count(F.lit(1)).cast("double").alias("_n"), F.min("_id").alias("_id"))
+    # few small rows become many draws: deal them out, or adaptive execution puts all into one task
+    alike = alike.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_id")
     digests = (replicates + 3) // 4
-    drawn = base.select(*keys, "_s", "_g", "_id", F.explode(F.sequence(F.lit(0), F.lit(digests - 1))).alias("_d"))
-    drawn = drawn.select(*keys, "_s", "_g", "_d", F.md5(F.concat_ws("|", "_id", "_d")).alias("_h"))
-    drawn = drawn.select(*keys, "_s", "_g", "_d", F.posexplode(F.array(
-        *[F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("double") / 4294967296.0 for i in range(4)])).alias("_i", "_u"))
-    drawn = drawn.select(*keys, "_s", "_g", (F.col("_d") * 4 + F.col("_i")).alias("_rep"),
-                         poisson_weight(F.col("_u")).alias("_w")).where(f"_w > 0 and _rep < {replicates}")
+    drawn = alike.select(*keys, "_s", "_g", "_n", "_id", F.explode(F.sequence(F.lit(0), F.lit(digests - 1))).alias("_d"))
+    drawn = drawn.select(*keys, "_s", "_g", "_n", "_d", F.md5(F.concat_ws("|", "_id", "_d")).alias("_h"))
+    size = 4294967296.0
+    words = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.conv(F.substr("_h", 1 + 8 * i, F.lit(8)), 16, 10).cast("double"))
+    # two words make two normal draws; the explode also keeps words from being computed anew for each use
+    paired = F.transform(F.array(words), lambda w: F.array(*(F.struct(w[i].alias("u"), w[i - i % 2].alias("a"), w[i - i % 2 + 1].alias("b")) for i in range(4))))[0]
+    drawn = drawn.select(*keys, "_s", "_g", "_n", "_d", F.posexplode(paired).alias("_i", "_x")).where(F.col("_d") * 4 + F.col("_i") < replicates)
+    u, a, b = (F.col(f"_x.{c}") / size for c in ("u", "a", "b"))
+    turn = F.when(F.col("_i") % 2 == 0, F.cos(2 * math.pi * b)).otherwise(F.sin(2 * math.pi * b))
+    z = F.when(F.col("_n") > EXACT, F.sqrt(-2 * F.log(a + 1 / size)) * turn)
+    drawn = drawn.select(*keys, "_s", "_g", (F.col("_d") * 4 + F.col("_i")).alias("_rep"), poisson_count(F.col("_n"), u, z).alias("_w")).where("_w > 0")
     reps = drawn.groupBy(*keys, "_rep").agg((F.sum(F.col("_w") * F.col("_g")) / F.sum(F.col("_w") * F.col("_s"))).alias("_roi"))
     return reps.groupBy(*keys).agg(F.percentile("_roi", F.lit(0.025)).alias("roi_low"),
                                    F.percentile("_roi", F.lit(0.975)).alias("roi_high"),

@@ -7,6 +7,7 @@ from ..functions import odds as O
 from ..functions import score as S
 from ..operators import evaluate as E
 from ..operators import reshape as R
+from ..operators.median import exact_median
 from ..plans import backtest as B
 from .odds_math import CANDIDATES, MAX, ONE_PER_MATCH, PS, PSC, best_bets, value_bets
 from .registry import query, r, sql_power, sql_power_probs
@@ -85,14 +86,20 @@ def a3(spark, sf):
     return rounded(E.bias_map(R.add_labels(view(spark, sf, "match_books")), ["avg", "bw", "b365"], BANDS), "book", "outcome", "band")
 
 
-_cdf = " ".join(f"when u < {c} then {k}" for k, c in enumerate(E.POISSON1_CDF))
+_cdf = "[" + ", ".join(f"[{', '.join(map(repr, x))}]" for x in E.POISSON_CDF) + "]"
 
 
 def _boot_sql(keys, base, reps):
-    return f"""bd as (select {keys}, s, g, id, unnest(range(0,{(reps + 3) // 4})) as d from ({base})),
-bh as (select {keys}, s, g, d, md5(concat(id, '|', d)) as h from bd),
-bu as (select {keys}, s, g, d*4+i as rep, cast(('0x' || substr(h, 1+8*i, 8)) as ubigint)/4294967296.0::double as u from (select *, unnest(range(0,4)) as i from bh)),
-bp as (select {keys}, s, g, rep, case {_cdf} else {len(E.POISSON1_CDF)} end as w from bu where rep < {reps}),
+    word = lambda i: f"('0x' || substr(h, {1 + 8 * i}, 8))::ubigint::double"
+    normal = [f"sqrt(-2*ln(u{i - i % 2}/4294967296.0 + 1/4294967296.0))*{'sin' if i % 2 else 'cos'}(2*pi()*(u{i - i % 2 + 1}/4294967296.0))" for i in range(4)]
+    draws = ", ".join(f"{{'i': {i}, 'u': u{i}/4294967296.0, 'z': {z}}}" for i, z in enumerate(normal))
+    return f"""bn as (select {keys}, s, g, count(*)::double as n, min(id::varchar) as id from ({base}) group by {keys}, s, g),
+bd as (select {keys}, s, g, n, id, unnest(range(0,{(reps + 3) // 4})) as d from bn),
+bh as (select {keys}, s, g, n, d, md5(concat(id, '|', d)) as h from bd),
+bw as (select {keys}, s, g, n, d, {', '.join(f'{word(i)} as u{i}' for i in range(4))} from bh),
+bu as (select {keys}, s, g, n, d, unnest([{draws}]) as x from bw),
+bp as (select {keys}, s, g, d*4+x.i as rep, case when n <= {E.EXACT} then len(list_filter(({_cdf})[n::int], lambda c: c <= x.u))::double
+  else greatest(0, floor(n + sqrt(n)*x.z + (x.z*x.z-1)/6 + 0.5)) end as w from bu where d*4+x.i < {reps}),
 bq as (select {keys}, rep, sum(w*g)/sum(w*s) as roi from bp where w > 0 group by {keys}, rep)
 select {keys}, round(quantile_cont(roi, 0.025),6) as roi_low, round(quantile_cont(roi, 0.975),6) as roi_high,
  round(avg(case when roi <= 0 then 1.0 else 0.0 end),6) as p_roi_le0 from bq group by {keys}"""
@@ -103,7 +110,7 @@ def a5(spark, sf):
     return rounded(E.bootstrap_roi(best_bets(spark, sf), ["season"], F.col("match_id"), 1000), "season")
 
 
-@query("A5_block_bootstrap_roi", f"""with {BETS}, {_boot_sql('season', f"select season, cast(match_date as varchar) as id, count(*)::double as s, sum({PNL}) as g from b group by 1, 2", 1000)}""", ("matches",))
+@query("A5_block_bootstrap_roi", f"""with {BETS}, {_boot_sql('season', f"select season, cast(match_date as varchar) as id, count(*)::double as s, round(sum({PNL}), 9) as g from b group by season, match_date", 1000)}""", ("matches",))
 def a5b(spark, sf):
     return rounded(E.bootstrap_roi(best_bets(spark, sf), ["season"], F.col("match_id"), 1000, block=F.col("match_date")), "season")
 
@@ -227,9 +234,11 @@ def a20(spark, sf):
 @query("A21_comparison_by_book", """with c as (select book, odds*0.4-1 as ev from odds_ticks)
 select book, count(*) as compared, count(*) filter (ev >= 0.03) as value_bets, round(quantile_cont(ev,0.5),6) as ev_median from c group by rollup(book)""", ("odds_ticks",))
 def a21(spark, sf):
-    c = view(spark, sf, "odds_ticks").withColumn("ev", F.col("odds") * 0.4 - 1)
-    return rounded(c.rollup("book").agg(F.count(F.lit(1)).alias("compared"), F.count(F.when(F.col("ev") >= 0.03, 1)).alias("value_bets"),
-                                        F.median("ev").alias("ev_median")), "book")
+    c = view(spark, sf, "odds_ticks").select("book", (F.col("odds") * 0.4 - 1).alias("ev"))
+    each = c.select(F.explode(F.array("book", F.lit(None).cast("string"))).alias("book"), "ev")          # the book and the total of all
+    counts = c.rollup("book").agg(F.count(F.lit(1)).alias("compared"), F.count(F.when(F.col("ev") >= 0.03, 1)).alias("value_bets"))
+    m = exact_median(each, "ev", ["book"], "ev_median").withColumnRenamed("book", "_book")
+    return rounded(counts.join(m, F.col("book").eqNullSafe(F.col("_book"))).drop("_book"), "book")
 
 
 @query("A22_announced_probability_audit", """with t as (select concat(cast(cast(round(100*(1/psh)/(1/psh+1/psd+1/psa)+12) as int) as varchar), '%') as announced, maxh as odds, fthg>ftag as won from matches),
