@@ -20,6 +20,8 @@ label is null teach nothing.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -33,7 +35,9 @@ BITS, FEATURES = 18, 58
 PIECE = 24
 #: Scripts without spaces: Thai to Tibetan, Myanmar, Khmer, kana, ideographs.
 UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-WORD = re.compile(rf"[^\W\d_{UNSPACED}]{{1,{PIECE}}}|[^\W\d_]")
+#: Signs that count as word characters but are no letters: numerals such as a half or a square.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c)[0] == "N")
+WORD = re.compile(rf"[^\W\d_{UNSPACED}{NUMERALS}]{{1,{PIECE}}}|[^\W\d_{NUMERALS}]")
 #: Words in a forward-backward run; more are done in the next run.
 RUN = 200_000
 

@@ -9,7 +9,7 @@ REAL = "/root/testdata/sf0.01/documents.parquet"
 
 def test_lm_scores_do_not_depend_on_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr(op4_lm, "SHARD", 20_000)
-    docs = spark.read.parquet(REAL).limit(300).localCheckpoint()
+    docs = spark.read.parquet(REAL).limit(300).cache()
     train = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
     near, far = op4_lm.learn(train), op4_lm.learn(train, limit=0, head=1000)
     assert near["shards"] > 1 and near["cells"] is not None and far["cells"] is None
@@ -36,6 +36,7 @@ def test_all_letters_of_a_long_run_are_read():
     for run in ("a" * 5000, "ab" * 12 + "é", "漢字かな交じり文" * 300, "ab漢字cd" * 50, "ภาษาไทย" * 50):
         pieces = op7_language.WORD.findall(run)
         assert all(len(w) <= op7_language.PIECE for w in pieces) and "".join(pieces) == "".join(c for c in run if c.isalpha())
+    assert op7_language.WORD.findall("½ ² Ⅷ ٣ ①") == [] and op7_language.labeller(op7_language.train([("the cat and the dog " * 9, "en")], epochs=2))(["½ ²"])[0][0] == "und"
     assert op7_language.WORD.findall("two words, naïve 3x") == ["two", "words", "naïve", "x"]
     m = op7_language.train([("the cat and the dog of this house with that " * 5, "en"), ("der hund und die katze von dem haus mit der " * 5, "de"), ("吾輩は猫である名前はまだ無い" * 8, "ja"), ("我是一只猫还没有名字" * 8, "zh")], epochs=20)
     label = op7_language.labeller(m)
