@@ -160,7 +160,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
 def read_tokens(index: DataFrame, folder: str) -> DataFrame:
     """Records read back from the files of an index: part, record, id, n_tokens, first (ids before it in its file), crc32 of the
     ids as unsigned 32-bit integers. Checksums are verified."""
-    files = index.groupBy("part", "file").agg(F.count("*").alias("n"))
+    files = settle(index.groupBy("part", "file").agg(F.count("*").alias("n")), "token-files")
     schema = index.sparkSession.createDataFrame([], "part int, record bigint, id bigint, n_tokens bigint, first bigint, ids_crc32 bigint").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +188,8 @@ def read_tokens(index: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield send(rows)
 
-    # a few files to a task; the number of files is the number of tasks that wrote them
-    return files.repartition(F.col("file")).select("part", "file", "n").mapInArrow(run, schema)
+    # the rows are tiny, so adaptive execution would merge them into one task: as many tasks as files are named here, up to 10,000
+    return files.repartition(max(1, min(files.count(), 10_000)), "file").select("part", "file", "n").mapInArrow(run, schema)
 
 
 def read_record(folder: str, file: str, offset: int, size: int):
