@@ -307,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, batch: int =
     picked = sample_labels(labels, per_class, id_col, label_col)
     # the sample is bounded by per_class, so its ids may be broadcast; repeated ids count once
     rows = settle(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min("_t").alias("_t"), F.max("_y").alias("_y"))
-                  .repartition(4 * spark.sparkContext.defaultParallelism, "_t").groupBy("_t").agg((F.max("_y") > 0).cast("int").alias("_y")), "labelled")
+                  .groupBy("_t").agg((F.max("_y") > 0).cast("int").alias("_y")).repartition(4 * spark.sparkContext.defaultParallelism), "labelled")
     totals = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     model = {"chars": counts, "weights": {"": -20.0 if not toxic else 20.0 if not clean else 0.0}}
