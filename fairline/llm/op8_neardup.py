@@ -14,7 +14,8 @@ hashes are the keys under which classes meet.
 
 Buckets and groups larger than `block` classes are dealt into blocks, and each pair of blocks is a task of its own, so no task holds
 more than two blocks and no candidate is dropped. Copies meet nowhere: they are one class. Estimates only choose what is compared;
-`near` lies four standard deviations below the limit. Two sets at the limit share no band with a probability of about 1e-6.
+`near` lies six standard deviations below the limit: 0.62 for 0.85, 0.57 for 0.80. Two sets at the limit share no band with a probability of
+4e-7 at 0.85 and 5e-5 at 0.80; such a pair is lost unless a third set brings both into one group.
 
 Null texts and texts without words have an empty set, are linked with nothing, and are their own component. Repeated rows are in one
 class. component_id is the smallest id of a component; a null id counts for nothing unless all are null. Empty tables give no rows.
@@ -263,7 +264,7 @@ def needed_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_co
     return sets.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
 
 
-def components(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, near: float = 0.72, block: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, near: float = 0.62, block: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, digest, n_shingles, component_id for each row."""
     rows = settle(profiles(docs, k, id_col, text_col), "profiles")
     full = rows.where("digest IS NOT NULL")
@@ -293,7 +294,7 @@ def report(docs: DataFrame) -> DataFrame:
     return c.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near(docs: DataFrame, num: int = 80, den: int = 100, near: float = 0.67) -> DataFrame:
+def drop_near(docs: DataFrame, num: int = 80, den: int = 100, near: float = 0.57) -> DataFrame:
     """One document of each component, with all its columns; of rows alike in id and text one stays. Documents without words all stay."""
     import uuid
     from pyspark.sql import Window
