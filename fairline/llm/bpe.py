@@ -14,7 +14,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^%s\p{L}\p{N}]+|[%s]+(?![^%s])|[%s]+" % (SPACE, SPACE, SPACE, SPACE)
 
 #: Entries of the caches of a task, and the longest key; a full cache starts again. They change the speed alone.
-CACHE, KEY = 250_000, 64
+CACHE, KEY = 100_000, 64
 
 
 def byte_letters() -> dict[str, int]:

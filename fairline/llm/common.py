@@ -26,6 +26,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rows_of(batch: pa.RecordBatch, size: int = 256) -> Iterator[tuple]:
+    """Rows of a batch as tuples, converted `size` at a time: a batch may hold 10,000 long texts."""
+    for at in range(0, batch.num_rows, size):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, size).columns))
+
+
 def rows_pass(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """One output row per input row.
 
@@ -56,7 +62,7 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[str | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            mask = pa.array([bool(fn(x)) for x in batch.column(at).to_pylist()], pa.bool_())
+            mask = pa.array([bool(fn(x)) for (x,) in rows_of(batch.select([at]))], pa.bool_())
             yield batch.filter(mask)
 
     return df.mapInArrow(run, df.schema)
@@ -74,8 +80,14 @@ def once(key, make):
 
 
 def forget() -> None:
-    """Give up what `once` keeps: the worker now serves another operator."""
+    """Give up what `once` keeps, and hand freed memory back to the system: the worker now serves another operator."""
+    import ctypes
+    import gc
     _HELD.clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)              # only some C libraries have it
+    if trim is not None:
+        trim(0)
     pa.default_memory_pool().release_unused()
 
 

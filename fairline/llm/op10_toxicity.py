@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Cache
-from .common import forget, keep_rows, remainder, rows_pass, settle
+from .common import forget, keep_rows, remainder, rows_of, rows_pass, settle
 
 #: Signs and the letters that they stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
@@ -51,7 +51,7 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             lut[ord(c)] = i
         total = np.zeros(SIZE ** 3, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for (text,) in rows_of(batch):
                 if not text:
                     continue
                 code = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
@@ -263,7 +263,7 @@ def best_features(rows: DataFrame, chars, stage: dict, known: set):
         def send():
             return pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array([v[0] for v in n.values()], pa.int64()), pa.array([v[1] for v in n.values()], pa.int64())], names=["f", "g", "h"])
         for batch in batches:
-            for text, y in zip(*(c.to_pylist() for c in batch.columns)):
+            for text, y in rows_of(batch):
                 found = list(said(*tally(restorer, cache, text)))
                 z = weights[""] + math.fsum(weights.get(f, 0.0) for f in found)
                 p = 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
@@ -273,7 +273,7 @@ def best_features(rows: DataFrame, chars, stage: dict, known: set):
                         v = n[f]
                         v[0] += g
                         v[1] += h
-                if len(n) > 200_000:
+                if len(n) > 60_000:
                     yield send()
                     n.clear()
         if n:

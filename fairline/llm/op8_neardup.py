@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import forget, lower_ascii, settle
+from .common import forget, lower_ascii, rows_of, settle
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 HASHES, ROWS, BITS = 128, 5, 1024
@@ -176,7 +176,7 @@ def by_group(df: DataFrame, keys: list[str], value: str, links_of) -> DataFrame:
                 d = [digests[k] for k in order]
                 out.extend((d[x], d[y]) for x, y in links_of([values[k] for k in order]))
         for batch in batches:
-            for *k, digest, v in zip(*(c.to_pylist() for c in batch.columns)):
+            for *k, digest, v in rows_of(batch):
                 if k != key:
                     close()
                     key, digests, values = k, [], []
@@ -308,7 +308,7 @@ def drop_near(docs: DataFrame, num: int = 80, den: int = 100, near: float = 0.57
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            sets = (shingles(t, 5, cache) for t in batch.column(at).to_pylist())
+            sets = (shingles(t, 5, cache) for (t,) in rows_of(batch.select([at])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary())], names=[*batch.schema.names, mark])
     here = docs.mapInArrow(run, schema).join(keep, F.col("doc_id").eqNullSafe(F.col(i)) & F.col(mark).eqNullSafe(F.col(d)), "left_semi")
     first = Window.partitionBy("doc_id", mark).orderBy("text")
