@@ -105,12 +105,14 @@ def p16(spark, sf):
 _STOPS = ", ".join(f"'{t}'" for t in X.STOP_TOKENS)
 
 
-@query("X1_normalise_names", f"""with t as (select doc_id, trim(regexp_replace(lower(strip_accents(split_part(text, chr(10), 1))), '[^a-z0-9'' ]+', ' ', 'g')) as s from documents where lang in ('fr','en')),
-k as (select doc_id, s, list_filter(string_split_regex(s, '\\s+'), lambda w: w <> '' and w not in ({_STOPS})) as w from t)
-select doc_id, case when len(w) > 0 then array_to_string(w, ' ') else s end as name from k""")
+@query("X1_normalise_names", f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line from documents),
+t as (select doc_id, line, trim(regexp_replace(lower(regexp_replace(strip_accents(t), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9'' ]+', ' ', 'g')) as s from l),
+k as (select doc_id, line, s, list_filter(string_split_regex(s, '\\s+'), lambda w: w <> '' and w not in ({_STOPS})) as w from t)
+select doc_id, line::int as line, case when len(w) > 0 then array_to_string(w, ' ') else s end as name from k""")
 def x1(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("lang").isin("fr", "en"))
-    return d.select("doc_id", X.norm_name(F.split_part("text", F.lit("\n"), F.lit(1))).alias("name"))
+    """Every line of every text as a name; a null text has none."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return d.select("doc_id", (F.col("line") + 1).alias("line"), X.norm_name("t").alias("name"))
 
 
 @query("X2_similarity", """with a as (select distinct p_name as n from part), t as (select x.n as l, y.n as r from a x join a y on split_part(x.n,' ',1)=split_part(y.n,' ',1)),
@@ -292,7 +294,7 @@ def s20(spark, sf):
 # ------------------------------------------------------------------ joins and live operators
 def events_pair(spark, sf):
     """Two sources of the same fixtures: the second one starts a little later and spells some teams differently."""
-    m = view(spark, sf, "matches").where("match_id % 5 <> 4")
+    m = view(spark, sf, "matches")
     names = lambda c: F.concat(F.lit("club "), F.element_at(F.array(*[F.lit(x) for x in _CLUBS]), F.substring(c, 2, 2).cast("int") + 1), F.lit(" "), F.col("country").cast("string"))
     left = m.select(F.col("match_id").alias("event_id"), F.col("match_date").cast("timestamp").alias("start"), names("home").alias("home"), names("away").alias("away"))
     right = m.select((-F.col("match_id")).alias("event_id"), (F.col("match_date").cast("timestamp") + F.expr("interval 1 hour")).alias("start"),
@@ -315,7 +317,7 @@ def _sql_club(team: str) -> str:
     return f"([{', '.join(repr(x) for x in _CLUBS)}])[substr({team}, 2, 2)::int + 1] || case when country = 1 then '' else ' ' || country end"
 
 
-_J7 = f"""e as (select match_id, match_date as d, {_sql_club('home')} as h, {_sql_club('away')} as a from matches where match_id%5 <> 4),
+_J7 = f"""e as (select match_id, match_date as d, {_sql_club('home')} as h, {_sql_club('away')} as a from matches),
 p as (select l.match_id as left_id, -r.match_id as right_id, {_sql_similarity('l.h', 'r.h')} as sh, {_sql_similarity('l.a', 'r.a')} as sa from e l join e r on l.d = r.d),
 c as (select left_id, right_id, least(sh, sa) as score from p where sh >= 0.7 and sa >= 0.7),
 k as (select *, row_number() over (partition by left_id order by score desc, right_id) as n, lead(score) over (partition by left_id order by score desc, right_id) as second from c)
