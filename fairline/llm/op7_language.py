@@ -35,9 +35,24 @@ BITS, FEATURES = 18, 58
 PIECE = 24
 #: Scripts without spaces: Thai to Tibetan, Myanmar, Khmer, kana, ideographs.
 UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-#: Signs that count as word characters but are no letters: numerals such as a half or a square.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c)[0] == "N")
-WORD = re.compile(rf"[^\W\d_{UNSPACED}{NUMERALS}]{{1,{PIECE}}}|[^\W\d_{NUMERALS}]")
+
+
+class Words:
+    """Finds words of lower-cased texts. Numerals such as a half or a square count as word characters for patterns but are no letters;
+    they are blanked first, since a pattern that leaves them out would compare each letter with hundreds of signs."""
+    run = re.compile(rf"[^\W\d_{UNSPACED}]{{1,{PIECE}}}|[^\W\d_]")
+
+    def __init__(self):
+        codes = [k for k in range(128, sys.maxunicode + 1) if chr(k).isalnum() and unicodedata.category(chr(k))[0] == "N"]
+        first = [k for j, k in enumerate(codes) if not j or codes[j - 1] != k - 1]
+        last = [k for j, k in enumerate(codes) if j + 1 == len(codes) or codes[j + 1] != k + 1]
+        self.numeral = re.compile("[" + "".join(f"{chr(x)}-{chr(y)}" for x, y in zip(first, last)) + "]")
+
+    def findall(self, text: str) -> list[str]:
+        return self.run.findall(text if text.isascii() else self.numeral.sub(" ", text))
+
+
+WORD = Words()
 #: Words in a forward-backward run; more are done in the next run.
 RUN = 200_000
 
