@@ -195,8 +195,7 @@ def s1(spark, sf):
     old = m.where("season < 1998").withColumnsRenamed({"AvgH": "BbAvH", "Date": " Date "})
     old.write.option("header", True).partitionBy("season").csv(f"{base}/old")
     m.where("season >= 1998").write.option("header", True).partitionBy("season").csv(f"{base}/new")
-    listed = [p for era in ("old", "new") for p in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(f"{base}/{era}").select("path").rdd.map(lambda x: x[0]).collect()]
-    df = files.load_main(spark, listed)
+    df = files.load_main(spark, [f"{base}/old", f"{base}/new"])
     s = F.year("Date").cast("int").alias("season")
     return df.groupBy(s).agg(F.count(F.lit(1)).alias("n"), F.sum("FTHG").alias("goals"), F.count("AvgH").alias("priced"), F.round(F.sum("AvgH"), 4).alias("odds"))
 

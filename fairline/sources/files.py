@@ -2,13 +2,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.odds import american_to_decimal, implausible_to_null
 from ..functions.text import parse_day
+from ..session import cut
 
 # Old header names and their current equivalents.
 HEADER_RENAMES = {"BbAvH": "AvgH", "BbAvD": "AvgD", "BbAvA": "AvgA", "BbMxH": "MaxH", "BbMxD": "MaxD", "BbMxA": "MaxA",
@@ -26,40 +26,69 @@ ODDS_COLUMNS = ([f"{b}{c}{o}" for b in BOOKS for c in ("", "C") for o in "HDA"]
                 + [f"{b}{c}AH{s}" for b in ("B365", "P", "Max", "Avg") for c in ("", "C") for s in "HA"])
 
 
-def _headers(spark: SparkSession, paths: Sequence[str], encoding: str) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by header line. Reads one line per file; the number of files is a directory listing."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        first = spark.read.option("encoding", encoding).text(p).limit(1).first()
-        names = tuple((first[0] if first else "").lstrip("﻿").rstrip("\r").split(","))
-        groups.setdefault(names, []).append(p)
-    return groups
+#: Most bytes of paths and header lines of a tree that are broadcast.
+HEADS_BYTES = 32 << 20
 
 
-def read_drifting_csv(spark: SparkSession, paths: Sequence[str], renames: dict[str, str], columns: Sequence[str],
-                      encoding: str = "UTF-8") -> DataFrame:
-    """Files with different headers as one text table: names trimmed and harmonised, missing columns null, bad lines dropped.
+def read_csv_tree(spark: SparkSession, paths: Sequence[str], renames: dict[str, str], columns: Sequence[str]) -> DataFrame:
+    """Files with different headers and encodings as one text table: `columns`, and `source_path` of each row.
 
-    One scan per distinct header; `source_path` keeps the file each row came from.
+    `paths` are files, folders or patterns. A file is UTF-8 if all of its lines are valid, else Latin-1. Its header is its first line; names are
+    trimmed and harmonised, of equal names the first counts, missing columns and empty fields are null. Short lines are filled with
+    nulls; a line with a value beyond its header, or equal to its header, is dropped. A quoted field may hold commas, but no line break.
+    Files without a line give no row.
+
+    One pass gives encoding and header of every file, one more reads the rows; no job and no scan per file or per header. To the driver go the
+    width of the widest header and the size of all headers; they are broadcast up to HEADS_BYTES, joined by file beyond.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(list(paths)).select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_b"))
+    place = F.struct("_b", F.monotonically_increasing_id())             # only compared within this one pass
+    text = F.when(F.col("_utf8"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    known = F.create_map(*[F.lit(x) for kv in renames.items() for x in kv]) if renames else F.lit(None).cast("map<string,string>")
+    names = F.transform(F.split(F.regexp_replace("_first", "^\ufeff", ""), ","), lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', "")))
+    heads = cut(lines.withColumn("_at", place).groupBy("source_path").agg(F.bool_and(F.is_valid_utf8("value")).alias("_utf8"), F.min_by("value", "_at").alias("value"))
+                .select("source_path", "_utf8", F.col("value").alias("_line"), text.alias("_first")).withColumn("_names", F.transform(names, lambda x: F.coalesce(known[x], x))).drop("_first"))
+    widest, held = heads.agg(F.max(F.size("_names")), F.sum(3 * F.octet_length("_line") + F.octet_length("source_path"))).first()
+    width = widest or 1
+    heads = F.broadcast(heads) if (held or 0) <= HEADS_BYTES else heads
+    fields = ", ".join(f"c{i} string" for i in range(width + 1))
+    rows = (lines.join(heads, "source_path").where((F.col("value") != F.col("_line")) & (F.trim("value") != ""))
+            .select("source_path", "_names", F.from_csv(text, fields, {"mode": "PERMISSIVE"}).alias("_c"))
+            .select("source_path", "_names", F.array(*[F.col(f"_c.c{i}") for i in range(width + 1)]).alias("_v"))
+            .where(~F.exists(F.slice("_v", F.size("_names") + 1, width + 1), lambda x: x.isNotNull())))
+    return rows.select(*[F.get("_v", F.array_position("_names", F.lit(c)).cast("int") - 1).alias(c) for c in columns], "source_path")
+
+
+# Books of the tennis files, of which W and L are the winner's and the loser's price; lowest price taken as one.
+TENNIS_BOOKS = ["PS", "B365", "Max", "Avg", "BFE"]
+TENNIS_LOWEST = 1.005
+
+
+def load_tennis(spark: SparkSession, paths: Sequence[str], tour: str = "atp", book: str = "PS") -> DataFrame:
+    """Completed matches of a tour with both players in alphabetical order as home and away, and the prices of each book.
+
+    Rows without date, winner or loser go. The sharp price is that of PS, where it is missing that of BFE.
     """
-    frames = []
-    for header, files in _headers(spark, paths, encoding).items():
-        names, used = [], set()
-        for i, h in enumerate(header):
-            n = renames.get(h.strip(), h.strip())
-            names.append(n if n and n not in used else f"_skip{i}")
-            used.add(n)
-        schema = ", ".join(f"`{n}` string" for n in names)
-        df = spark.read.csv(files, header=True, schema=schema, mode="DROPMALFORMED", encoding=encoding, enforceSchema=True)
-        df = df.withColumn("source_path", F.col("_metadata.file_path"))
-        have = set(df.columns)
-        frames.append(df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None).cast("string")).alias(c) for c in columns], "source_path"))
-    return reduce(lambda a, b: a.unionByName(b), frames)
-
-
-def load_main(spark: SparkSession, paths: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
+    texts = ["Tournament", "Date", "Series", "Surface", "Round", "Winner", "Loser", "Comment"]
+    raw = read_csv_tree(spark, paths, {"Tier": "Series"}, [*texts, "Best of", "WRank", "LRank", *[f"{b}{s}" for b in TENNIS_BOOKS for s in "WL"]])
+    df = raw.withColumns({"date": F.coalesce(F.to_date(F.try_to_timestamp("Date", F.lit("yyyy-MM-dd"))), parse_day("Date")), "w": F.trim("Winner"), "l": F.trim("Loser")})
+    df = df.where("date is not null and w is not null and l is not null").where(F.lower(F.trim("Comment")) == "completed")
+    price = lambda c: F.when(F.col(c).try_cast("double") >= TENNIS_LOWEST, F.col(c).try_cast("double"))     # noqa: E731
+    won = F.col("w") <= F.col("l")
+    both = lambda a, b: (F.when(won, a).otherwise(b), F.when(won, b).otherwise(a))                        # noqa: E731
+    home, away = both(F.col("w"), F.col("l"))
+    rank_1, rank_2 = both(F.col("WRank").try_cast("double"), F.col("LRank").try_cast("double"))
+    odds = {f"{b}_{side}": x for b in TENNIS_BOOKS for side, x in zip(("home", "away"), both(price(f"{b}W"), price(f"{b}L")))}
+    df = df.select("date", F.year("date").alias("season"), home.alias("home"), away.alias("away"), won.alias("home_win"), F.lit(1).alias("neutral"), F.col("Surface").alias("surface"),
+                   F.col("Series").alias("series"), F.col("Round").alias("round"), F.col("`Best of`").try_cast("double").alias("best_of"), rank_1.alias("rank_1"), rank_2.alias("rank_2"),
+                   F.col("Tournament").alias("_tournament"), *[x.alias(n) for n, x in odds.items()])
+    df = df.withColumns({"odds_home": F.col(f"{book}_home"), "odds_away": F.col(f"{book}_away"), "sharp_home": F.coalesce("PS_home", "BFE_home"), "sharp_away": F.coalesce("PS_away", "BFE_away")})
+    return two_outcome_events(df, "tennis", F.col("_tournament")).withColumn("tour", F.lit(tour.upper())).drop("_tournament")
+
+
+def load_main(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Main league files (<season>/<league>.csv): typed, dates parsed, absurd odds nulled, match id added."""
-    raw = read_drifting_csv(spark, paths, HEADER_RENAMES, TEXT_COLUMNS + COUNT_COLUMNS + ODDS_COLUMNS + HANDICAP_LINES, encoding)
+    raw = read_csv_tree(spark, paths, HEADER_RENAMES, TEXT_COLUMNS + COUNT_COLUMNS + ODDS_COLUMNS + HANDICAP_LINES)
     cols: dict[str, Column] = {c: F.col(c).try_cast("int") for c in COUNT_COLUMNS}
     cols |= {c: implausible_to_null(F.col(f"`{c}`")) for c in ODDS_COLUMNS}
     cols |= {c: F.col(c).try_cast("double") for c in HANDICAP_LINES}
@@ -70,10 +99,10 @@ def load_main(spark: SparkSession, paths: Sequence[str], encoding: str = "UTF-8"
     return with_match_id(df.where("Date is not null and FTHG is not null and FTAG is not null"))
 
 
-def load_extra(spark: SparkSession, paths: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
+def load_extra(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Extra league files: closing odds only, season = first four characters."""
     odds = [f"{b}C{o}" for b in ("PS", "Max", "Avg", "B365", "BFE") for o in "HDA"]
-    raw = read_drifting_csv(spark, paths, EXTRA_RENAMES, ["Country", "Season", "Date", "Time", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR", *odds], encoding)
+    raw = read_csv_tree(spark, paths, EXTRA_RENAMES, ["Country", "Season", "Date", "Time", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR", *odds])
     df = raw.withColumns({**{c: F.col(c).try_cast("double") for c in odds}, "FTHG": F.col("FTHG").try_cast("int"), "FTAG": F.col("FTAG").try_cast("int"),
                           "Date": parse_day("Date"), "Season": F.substring("Season", 1, 4), "League": F.regexp_extract("source_path", r"([^/]+)\.csv", 1)})
     return df.where("Date is not null and FTHG is not null and FTAG is not null").drop("source_path")
@@ -101,6 +130,47 @@ def two_outcome_events(df: DataFrame, sport: str, competition: Column, aliases:
     return df.withColumns({"sport": F.lit(sport), "competition": competition})
 
 
+# Clubs that moved, by their old and new code.
+MOVED_CLUBS = {"OAK": "LV", "SD": "LAC", "STL": "LA"}
+
+
+def load_mlb(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Baseball games with American prices, from Parquet."""
+    df = spark.read.parquet(*paths).select(F.col("game_date").cast("date").alias("date"), F.year(F.col("game_date").cast("date")).alias("season"), F.col("home_team_abbr").alias("home"),
+                                           F.col("away_team_abbr").alias("away"), (F.col("Home_Win").cast("int") == 1).alias("home_win"), F.col("home_odds").alias("odds_home"), F.col("away_odds").alias("odds_away"))
+    return two_outcome_events(df, "baseball", F.lit("MLB"), american=("odds_home", "odds_away"))
+
+
+def load_nfl(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """American football games that have a winner, with spread and margin; clubs under their present code."""
+    raw = read_csv_tree(spark, paths, {}, ["season", "game_type", "gameday", "away_team", "away_score", "home_team", "home_score", "location", "result", "away_moneyline", "home_moneyline", "spread_line"])
+    num = lambda c: F.col(c).try_cast("double")                                                            # noqa: E731
+    df = raw.where(num("home_score") != num("away_score")).select(
+        F.col("gameday").try_cast("date").alias("date"), F.col("season").try_cast("int").alias("season"), F.col("home_team").alias("home"), F.col("away_team").alias("away"),
+        (num("home_score") > num("away_score")).alias("home_win"), num("home_moneyline").alias("odds_home"), num("away_moneyline").alias("odds_away"), num("spread_line").alias("spread_line"),
+        num("result").alias("margin"), F.coalesce((F.col("location") == "Neutral").cast("int"), F.lit(0)).alias("neutral"), (F.col("game_type") == "REG").alias("_regular"))
+    return two_outcome_events(df, "american_football", F.when(F.col("_regular"), "NFL saison").otherwise("NFL playoffs"), MOVED_CLUBS, ("odds_home", "odds_away")).drop("_regular")
+
+
+def load_fights(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Decided fights; the fighter whose name comes first in the alphabet is home, so that the corner tells nothing."""
+    raw = read_csv_tree(spark, paths, {}, ["R_fighter", "B_fighter", "R_odds", "B_odds", "date", "Winner", "title_bout"]).where(F.col("Winner").isin("Red", "Blue"))
+    red_first = F.col("R_fighter") <= F.col("B_fighter")
+    pick = lambda a, b: F.when(red_first, F.col(a)).otherwise(F.col(b))                                   # noqa: E731
+    df = raw.select(F.col("date").try_cast("date").alias("date"), F.year(F.col("date").try_cast("date")).alias("season"), pick("R_fighter", "B_fighter").alias("home"), pick("B_fighter", "R_fighter").alias("away"),
+                    ((F.col("Winner") == "Red") == red_first).alias("home_win"), pick("R_odds", "B_odds").try_cast("double").alias("odds_home"), pick("B_odds", "R_odds").try_cast("double").alias("odds_away"),
+                    F.lit(1).alias("neutral"), F.coalesce(F.col("title_bout").try_cast("boolean"), F.lit(False)).alias("title_bout"))
+    return two_outcome_events(df, "mma", F.lit("UFC"), american=("odds_home", "odds_away"))
+
+
+def load_international(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Matches of national teams with both scores known."""
+    raw = read_csv_tree(spark, paths, {}, ["date", "home_team", "away_team", "home_score", "away_score", "tournament", "city", "country", "neutral"])
+    df = raw.withColumns({"date": F.col("date").try_cast("date"), "home_score": F.col("home_score").try_cast("double").cast("int"), "away_score": F.col("away_score").try_cast("double").cast("int"),
+                          "neutral": F.col("neutral").try_cast("boolean")})
+    return df.where("home_score is not null and away_score is not null").drop("source_path")
+
+
 def new_rows(incoming: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is not stored yet."""
     return incoming.join(stored.select(*keys).distinct(), list(keys), "left_anti")
