@@ -1,4 +1,4 @@
-"""File sources read from trees that Spark writes out of the tables: mixed encodings and headers (S1), single events (S5), a tennis tour."""
+"""File sources read from trees that Spark writes out of the tables: mixed encodings and headers (S1), extra leagues (S2), single events (S5), a tennis tour."""
 from __future__ import annotations
 
 from uuid import uuid4
@@ -68,3 +68,17 @@ def s5(spark, sf):
     nations = files.load_international(spark, [f"{base}/nations"]).select(F.lit("international").alias("sport"), F.col("home_team").alias("home"), (F.col("home_score") > F.col("away_score")).alias("home_win"), F.lit(None).cast("double").alias("odds_home"))
     e = files.load_mlb(spark, [f"{base}/games"]).select(cols).unionAll(files.load_nfl(spark, [f"{base}/nfl"]).select(cols)).unionAll(files.load_fights(spark, [f"{base}/fights"]).select(cols)).unionAll(nations)
     return e.groupBy("sport", "home").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home_win").cast("long")).alias("wins"), F.count("odds_home").alias("priced"), r(F.sum("odds_home"), 4).alias("odds"))
+
+
+@query("S2_extra_leagues", """select season, 'Land ' || country::varchar as country, count(*) as n, sum(fthg-ftag)::bigint as margin, count(*) filter (fthg > ftag) as home_wins, count(pinh) as priced, round(sum(pinh), 4) as odds
+from match_books where fthg <> 5 group by season, country""", ("match_books",))
+def s2(spark, sf):
+    """Files of the extra leagues: other names for teams and goals, seasons over two years, matches not yet played among them."""
+    base = _tree(spark, "extra")
+    m = view(spark, sf, "match_books")
+    m.select(F.concat(F.lit("Land "), F.col("country").cast("string")).alias("Country"), F.concat_ws("/", F.col("season").cast("string"), (F.col("season") + 1).cast("string")).alias("Season"),
+             F.date_format("match_date", "dd/MM/yyyy").alias("Date"), F.col("home").alias("Home"), F.col("away").alias("Away"), F.when(F.col("fthg") != 5, F.col("fthg")).alias("HG"), F.col("ftag").alias("AG"),
+             F.when(F.col("fthg") > F.col("ftag"), "H").when(F.col("fthg") < F.col("ftag"), "A").otherwise("D").alias("Res"), F.col("pinh").alias("PSCH")).write.option("header", True).csv(base)
+    df = files.load_extra(spark, [base])
+    return df.groupBy(F.col("Season").cast("int").alias("season"), F.col("Country").alias("country")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("FTHG") - F.col("FTAG")).cast("long").alias("margin"),
+                                                                                                           F.sum((F.col("FTR") == "H").cast("long")).alias("home_wins"), F.count("PSCH").alias("priced"), r(F.sum("PSCH"), 4).alias("odds"))
