@@ -50,13 +50,15 @@ def read_csv_tree(spark: SparkSession, paths: Sequence[str], renames: dict[str,
                 .select("source_path", "_utf8", F.col("value").alias("_line"), text.alias("_first")).withColumn("_names", F.transform(names, lambda x: F.coalesce(known[x], x))).drop("_first"))
     widest, held = heads.agg(F.max(F.size("_names")), F.sum(3 * F.octet_length("_line") + F.octet_length("source_path"))).first()
     width = widest or 1
-    heads = F.broadcast(heads) if (held or 0) <= HEADS_BYTES else heads
     fields = ", ".join(f"c{i} string" for i in range(width + 1))
-    rows = (lines.join(heads, "source_path").where((F.col("value") != F.col("_line")) & (F.trim("value") != ""))
-            .select("source_path", "_names", F.from_csv(text, fields, {"mode": "PERMISSIVE"}).alias("_c"))
-            .select("source_path", "_names", F.array(*[F.col(f"_c.c{i}") for i in range(width + 1)]).alias("_v"))
-            .where(~F.exists(F.slice("_v", F.size("_names") + 1, width + 1), lambda x: x.isNotNull())))
-    return rows.select(*[F.get("_v", F.array_position("_names", F.lit(c)).cast("int") - 1).alias(c) for c in columns], "source_path")
+    # places of the columns are found once a file; explodes of one-element arrays are fences: filters stay above them, so a line is parsed once
+    places = heads.select("source_path", "_utf8", "_line", F.size("_names").alias("_n"), F.array(*[F.array_position("_names", F.lit(c)).cast("int") - 1 for c in columns]).alias("_p"))
+    rows = (lines.join(F.broadcast(places) if (held or 0) <= HEADS_BYTES else places, "source_path").where((F.col("value") != F.col("_line")) & (F.trim("value") != ""))
+            .select("source_path", "_n", "_p", F.explode_outer(F.array(F.from_csv(text, fields, {"mode": "PERMISSIVE"}))).alias("_c"))
+            .select("source_path", "_n", "_p", F.array(*[F.col(f"_c.c{i}") for i in range(width + 1)]).alias("_v"))
+            .where(~F.exists(F.slice("_v", F.col("_n") + 1, width + 1), lambda x: x.isNotNull())))
+    picked = F.struct(*[F.get("_v", F.get("_p", F.lit(k))).alias(c) for k, c in enumerate(columns)])
+    return rows.select(F.explode_outer(F.array(picked)).alias("_r"), "source_path").select("_r.*", "source_path")
 
 
 # Books of the tennis files, of which W and L are the winner's and the loser's price; lowest price taken as one.

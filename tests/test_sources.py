@@ -37,3 +37,10 @@ def test_tennis_prices_and_order(spark, tmp_path):
     _write(tmp_path, "2009.csv", b"Tournament,Date,Tier,Winner,Loser,Comment,PSW,PSL\nB,03/01/2009,T1,Ann,Eve,completed,1.8,2.1\nB,,T1,Ann,Eve,completed,1.8,2.1\n")
     rows = sorted(tuple(r) for r in files.load_tennis(spark, [str(tmp_path)]).select("home", "away", "home_win", "series", "odds_home", "odds_away", "sharp_away", "tour").collect())
     assert rows == [("Abe", "Zed", False, "ATP", 3.0, None, 1.5, "ATP"), ("Ann", "Eve", True, "T1", 1.8, 2.1, 2.1, "ATP")]
+
+
+def test_a_line_is_parsed_once_whatever_is_filtered(spark, tmp_path):
+    _write(tmp_path, "a.csv", b"Home,Away\nLyon,Nice\n,Nice\nLyon,Metz\n")
+    got = files.read_csv_tree(spark, [str(tmp_path)], {}, ["Home", "Away"]).where("Home is not null and Away <> 'Metz'").selectExpr("Home", "upper(Away) as a", "Away")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+    assert [tuple(r) for r in got.collect()] == [("Lyon", "NICE", "Nice")]
