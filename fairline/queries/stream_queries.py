@@ -107,9 +107,7 @@ def l18(spark, sf):
 @query("M6_streaming_elo")
 def m6(spark, sf):
     m = view(spark, sf, "matches").select("country", "match_id", "match_date", "home", "away", (F.col("fthg") - F.col("ftag")).alias("gd"))
-    path = f"{shared_dir(spark)}/results-{uuid4().hex}"
-    m.write.parquet(path)
-    out = ST.run_available(ST.elo_stream(spark.readStream.schema(m.schema).parquet(path)), "elo", shared_dir(spark))
+    out = ST.run_in_order(m, ST.elo_stream, "elo", shared_dir(spark), "country")
     return rounded(out, "match_id", digits=5)
 
 

@@ -5,8 +5,9 @@ by the number of open picks and teams. State and offsets live in the checkpoint
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,8 +98,15 @@ def freeze_clv(rows: DataFrame, delay: str = "1 hour") -> DataFrame:
         ClosingLine(), "market_id int, side int, odds double, clv double", "append", "EventTime"))
 
 
+#: Rows that leave the replay at a time.
+OUT_ROWS = 10_000
+
+
 class EloState(StatefulProcessor):
-    """Incremental Elo: ratings per team of one group; each trigger's results are replayed in date order."""
+    """Incremental Elo: ratings per team of one group; each trigger's results are replayed in date order.
+
+    A trigger's results of one group are held in one task, as narrow rows; `run_in_order` keeps triggers small.
+    """
 
     def __init__(self, k: float = 20.0, hfa: float = 65.0, init: float = 1500.0):
         self.k, self.hfa, self.first = k, hfa, init
@@ -108,19 +116,29 @@ class EloState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         from ..models.ratings import _margin_weight, win_expectancy
-        batch = pd.concat(list(rows)).sort_values(["match_date", "match_id"])
+        codes: dict = {}                                                     # a number for each team: rows hold no strings
+
+        def narrow(pdf: pd.DataFrame) -> pd.DataFrame:
+            day = pdf["match_date"]
+            team = {c: np.fromiter((codes.setdefault(x, len(codes)) for x in pdf[c]), np.int32, len(pdf)) for c in ("home", "away")}
+            return pdf[["match_id", "gd"]].assign(match_date=day.astype("datetime64[s]") if day.dtype == object else day, **team)
+        batch = pd.concat([narrow(pdf) for pdf in rows], ignore_index=True).sort_values(["match_date", "match_id"], ignore_index=True)
         known = {k[0]: float(v[0]) for k, v in self.ratings.iterator()}      # one row per team of the group
-        out, touched = [], set()
-        for mid, h, a, gd in batch[["match_id", "home", "away", "gd"]].itertuples(index=False):
-            rh, ra = known.get(h, self.first), known.get(a, self.first)
-            p = win_expectancy(rh + self.hfa - ra)
-            gain = self.k * _margin_weight(gd) * ((1.0 if gd > 0 else 0.5 if gd == 0 else 0.0) - p)
-            known[h], known[a] = rh + gain, ra - gain
-            touched |= {h, a}
-            out.append((mid, rh, ra, p))
-        for t in touched:
-            self.ratings.updateValue((t,), (known[t],))
-        yield pd.DataFrame(out, columns=["match_id", "elo_h", "elo_a", "elo_raw_ph"])
+        rating = [known.get(x, self.first) for x in codes]
+        for at in range(0, len(batch), OUT_ROWS):
+            part, out = batch.iloc[at:at + OUT_ROWS], []
+            for h, a, gd in part[["home", "away", "gd"]].itertuples(index=False):
+                rh, ra = rating[h], rating[a]
+                p = win_expectancy(rh + self.hfa - ra)
+                gain = self.k * _margin_weight(gd) * ((1.0 if gd > 0 else 0.5 if gd == 0 else 0.0) - p)
+                rating[h] = rh + gain
+                rating[a] = ra - gain
+                out.append((rh, ra, p))
+            done = pd.DataFrame(out, columns=["elo_h", "elo_a", "elo_raw_ph"])
+            done.insert(0, "match_id", part["match_id"].to_numpy())
+            yield done
+        for x, value in zip(codes, rating):
+            self.ratings.updateValue((x,), (value,))
 
     def close(self) -> None:
         pass
@@ -132,12 +150,46 @@ def elo_stream(results: DataFrame, group: str = "country") -> DataFrame:
     return results.groupBy(group).transformWithStateInPandas(EloState(), f"match_id {kind}, elo_h double, elo_a double, elo_raw_ph double", "append", "None")
 
 
+def _drain(df: DataFrame, base: str, mode: str) -> None:
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    q = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def run_available(df: DataFrame, name: str, folder: str, mode: str = "append") -> DataFrame:
     """Process everything available now into a Parquet table under `folder` and read it back."""
     from uuid import uuid4
-    spark = df.sparkSession
     base = f"{folder}/{name}-{uuid4().hex}"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    q = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out")
+    _drain(df, base, mode)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out")
+
+
+def run_in_order(rows: DataFrame, stream: Callable[[DataFrame], DataFrame], name: str, folder: str, group: str, date_col: str = "match_date", slice_rows: int = 500_000) -> DataFrame:
+    """What `stream` gives for rows that arrive in the order of their days: a trigger takes about `slice_rows` of a group, whole days, however
+    large the table is. State lives on from trigger to trigger in one checkpoint. Rows without a day come last.
+
+    Rows are dealt to time slices once; a slice is put into the folder that the stream reads when the one before it is done.
+    """
+    from uuid import uuid4
+    from ..models.ratings import _slices
+    from ..session import cut
+    spark, base = rows.sparkSession, f"{folder}/{name}-{uuid4().hex}"
+    days, n = _slices(rows, [group], date_col, slice_rows)
+
+    def arrived() -> DataFrame:
+        return stream(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+    if n <= 1:
+        rows.write.parquet(f"{base}/in")
+        return run_available(arrived(), name, folder)
+    first = cut(days.groupBy(group, "_slice").agg(F.min(date_col).alias("_from")))
+    numbers = sorted(r[0] for r in first.select("_slice").distinct().collect())
+    first = first.groupBy(F.col(group).alias("_group")).agg(F.collect_list(F.struct("_from", "_slice")).alias("_firsts"))
+    begun = F.transform(F.filter("_firsts", lambda s: s["_from"] <= F.col(date_col)), lambda s: s["_slice"])
+    dealt = rows.join(F.broadcast(first), F.col(group).eqNullSafe(F.col("_group"))).withColumn("_in", F.when(F.col(date_col).isNull(), n - 1).otherwise(F.array_max(begun)))
+    dealt.select(*rows.columns, "_in").write.partitionBy("_in").parquet(f"{base}/slices")
+    for i in numbers:
+        part = spark.read.schema(rows.schema).parquet(f"{base}/slices/_in={i}")
+        part.write.mode("append").parquet(f"{base}/in")
+        out = arrived()
+        _drain(out, base, "append")
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
