@@ -34,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op6_bpe.digests(docs, tokenizer_path())
+    return op6_bpe.digests(docs, tokenizer_path(), cache=100_000)           # the workers have served four stages before
 
 
 STAGES = [("toxicity", toxicity), ("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("tokens", tokens)]

@@ -58,7 +58,7 @@ def adjacency():
 class Backtracking:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         import ahocorasick
         import numpy as np
         import regex
@@ -79,7 +79,7 @@ class Backtracking:
                 halves.append((left, right))
             pair.setdefault((left, right), rank[a + b])
         self.halves, self.pair = halves, pair
-        self.compatible = Cache(self._compatible)
+        self.compatible = Cache(self._compatible, cache)
         tokens = sorted(rank, key=rank.get)
         # a token that BPE does not build out of its own bytes never occurs
         live = [True] * 256
@@ -106,8 +106,8 @@ class Backtracking:
         self.pieces = regex.compile(PIECES).findall
         self.bytes_of = [i.to_bytes(4, "little") for i in self.id]
         self.whole = {raw: self.bytes_of[t] for raw, t in rank.items() if live[t]}
-        self.by_piece = Cache(self._piece)
-        self.by_word = Cache(lambda word: self._unit(" " + word))
+        self.by_piece = Cache(self._piece, cache)
+        self.by_word = Cache(lambda word: self._unit(" " + word), cache)
         self.adjacent = adjacency()
         # decoding: all tokens' bytes in one buffer, and where each id begins
         of = {i: raw for raw, i in ids.items()} | {i: x.encode() for x, i in special.items()}

@@ -32,11 +32,12 @@ def decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str =
     return rows_pass(df, [id_col, ids_col], f"{id_col} {dict(df.dtypes)[id_col]}, text string", make)
 
 
-def digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them."""
+def digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", cache: int = 500_000) -> DataFrame:
+    """Per row: number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them. `cache` bounds the entries of a cache: it
+    changes the speed and the memory of a worker alone."""
     def make():
         from .bpe import Backtracking
-        coder = once(("bpe", tokenizer), lambda: Backtracking(tokenizer))
+        coder = once(("bpe", tokenizer, cache), lambda: Backtracking(tokenizer, cache))
 
         def row(i, t):
             ids = coder.encode(t)
