@@ -22,7 +22,7 @@ def period_of(season: Column, dev: tuple[int, int] = DEV, test: tuple[int, int]
 
 
 def config_table(spark: SparkSession, configs: Sequence[dict]) -> DataFrame:
-    """Strategy settings as a table; how it is joined is the optimizer's choice by its size."""
+    """Strategy settings as a table, of the caller's list alone: it does not grow with the input."""
     rows = [(i, c["family"], c["prob"], c["book"], float(c["min_ev"]), float(c.get("max_odds", 100.0)))
             for i, c in enumerate(configs)]
     return spark.createDataFrame(
@@ -80,7 +80,9 @@ def strategy_grid(df: DataFrame, configs: Sequence[dict], probs: dict[str, Seque
     picks = d.select(*keep, "_p.prob", "_o.book", "max_odds", best)
     picks = picks.select(*keep, "prob", "book", "max_odds", "b.*").drop("pref")
     floor = min(float(c["min_ev"]) for c in configs)
-    chosen = picks.where(F.col("ev") >= floor).join(table, ["prob", "book", "max_odds"]).where("ev >= min_ev")
+    # a table out of a list has no known size, and adaptive execution takes back a broadcast whose side leaves most shuffle partitions empty:
+    # left to itself Spark shuffles every pick
+    chosen = picks.where(F.col("ev") >= floor).join(F.broadcast(table), ["prob", "book", "max_odds"]).where("ev >= min_ev")
     return chosen, table
 
 

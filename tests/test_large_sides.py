@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from fairline.operators import fuzzy
-from fairline.plans import labels
+from fairline.plans import backtest, labels
 
 
 def plan(df):
@@ -38,3 +38,15 @@ def test_verdicts(spark):
     got = labels.evaluate_labels(b, e, prices, players)
     assert "BroadcastExchange" not in plan(got)
     assert {(r["event"], r["key"], r["verdict"]) for r in got.collect()} == {(i, "win:h", "play") for i in range(40)}
+
+
+def test_picks_of_a_grid_are_not_shuffled(spark):
+    odds = spark.createDataFrame([(1, 2000, 0.5, 2.2, True), (2, 2000, 0.4, 2.2, False), (2, 2000, 0.5, 3.0, True), (None, 2001, 0.5, 2.1, None)],
+                                 "match_id int, season int, p double, o double, won boolean")
+    df = odds.select("match_id", "season", "p", (1 - F.col("p")).alias("q"), "o", F.lit(1.5).alias("u"), "won", (~F.col("won")).alias("lost"))
+    configs = [dict(family="f", prob="m", book="b", min_ev=e, max_odds=t) for e in (0.02, 0.08) for t in (2.5, 10.0)]
+    bets, table = backtest.strategy_grid(df, configs, {"m": ["p", "q"]}, {"b": ["o", "u"]}, ["won", "lost"], ["H", "A"], ["match_id", "season"], max_ev=0.6)
+    assert "hashpartitioning" not in plan(bets)
+    got = sorted((r["config_id"], r["match_id"] or 0, round(r["ev"], 6), r["won"]) for r in bets.collect())
+    assert got == [(0, 0, 0.05, None), (0, 1, 0.1, True), (1, 0, 0.05, None), (1, 1, 0.1, True), (1, 2, 0.5, True), (2, 1, 0.1, True), (3, 1, 0.1, True), (3, 2, 0.5, True)]
+    assert table.count() == 4
