@@ -3,9 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.odds import american_to_decimal, implausible_to_null
 from ..functions.text import first_last
+from ..session import large
 
 BOOKS_PAYLOAD = ("array<struct<id: string, commence_time: timestamp, home_team: string, away_team: string, bookmakers: array<struct<key: string, "
                  "markets: array<struct<key: string, outcomes: array<struct<name: string, price: double, point: double>>>>>>>>")
@@ -31,27 +33,43 @@ def matchup_odds(matchups: DataFrame, markets: DataFrame, method: str = "power")
     matchups(id, parent_id, type, is_live, start, home, away, category, description),
     markets(matchup_id, key, market_type, period, status, is_alternate, prices array<struct<designation, participant, points, price>>).
     """
-    from ..operators.groups import long_devig
-    m = markets.where((F.coalesce("status", F.lit("open")) == "open") & (F.size("prices") >= 2)).join(
-        matchups.where("not is_live"), F.col("matchup_id") == F.col("id"))
-    game = m.where((F.col("type") == "matchup") & ~F.col("is_alternate") & (F.col("period") == 0) & F.col("market_type").isin("moneyline", "spread", "total"))
-    game = game.where(~(F.col("home").contains("(") & ~F.col("home").endswith(" (Games)")))
+    from ..operators.groups import devig_markets
+    live = matchups.where("not is_live")
     tidy = lambda c: F.replace(F.col(c), F.lit(" (Games)"), F.lit(""))      # noqa: E731
-    g = game.select(F.col("id").alias("event_id"), "start", tidy("home").alias("home"), tidy("away").alias("away"), F.col("market_type").alias("market"),
-                    F.lit(False).alias("is_prop"), F.when(F.col("home").endswith(" (Games)"), "jeux").alias("unit"),
-                    F.concat_ws("|", "id", "key").alias("market_key"), F.explode("prices").alias("p"))
-    side = F.col("p.designation")
-    g = g.withColumn("selection", F.when(side == "home", F.col("home")).when(side == "away", F.col("away")).when(side == "draw", "Nul")
-                     .when(side == "over", "Plus").when(side == "under", "Moins").otherwise(side))
+    # what a market takes from its matchup is settled on the smaller side, so games and specials meet the markets in one join
+    game = live.where((F.col("type") == "matchup") & ~(F.col("home").contains("(") & ~F.col("home").endswith(" (Games)")))
+    game = game.select("id", "start", tidy("home").alias("home"), tidy("away").alias("away"), F.when(F.col("home").endswith(" (Games)"), "jeux").alias("unit"),
+                       F.lit(False).alias("is_prop"), F.lit(None).cast("string").alias("_title"), F.lit(None).cast(matchups.schema["id"].dataType).alias("_pid"))
     parent = matchups.select(F.col("id").alias("_pid"), F.col("start").alias("_ps"), F.col("home").alias("_ph"), F.col("away").alias("_pa"))
-    s = m.where(F.col("type") == "special").join(parent, F.col("parent_id") == F.col("_pid"))
-    s = s.select(F.col("_pid").alias("event_id"), F.col("_ps").alias("start"), F.col("_ph").alias("home"), F.col("_pa").alias("away"),
-                 F.concat_ws(": ", "category", "description").alias("market"), F.lit(True).alias("is_prop"), F.lit(None).cast("string").alias("unit"),
-                 F.concat_ws("|", "id", "key").alias("market_key"), F.explode("prices").alias("p")).withColumn("selection", F.col("p.participant"))
-    rows = g.unionByName(s).select("event_id", "start", "home", "away", F.concat_ws(" - ", "home", "away").alias("event"), "market", "selection", "is_prop", "unit",
-                                   "market_key", F.col("p.points").alias("line"), american_to_decimal("p.price", strict=False).alias("pin_odds"))
-    fair = long_devig(rows, ["market_key"], ["selection"], "pin_odds", method).select("market_key", "selection", "fair_prob", F.col("margin").alias("pin_margin"))
-    return rows.join(fair, ["market_key", "selection"]).withColumn("fair_odds", 1 / F.col("fair_prob"))
+    special = live.where(F.col("type") == "special").join(parent, F.col("parent_id") == F.col("_pid"))
+    special = special.select("id", F.col("_ps").alias("start"), F.col("_ph").alias("home"), F.col("_pa").alias("away"), F.lit(None).cast("string").alias("unit"),
+                             F.lit(True).alias("is_prop"), F.concat_ws(": ", "category", "description").alias("_title"), "_pid")
+    sides = game.unionByName(special)
+    m = markets.where((F.coalesce("status", F.lit("open")) == "open") & (F.size("prices") >= 2))
+    on, by = F.col("matchup_id") == F.col("id"), ["id", "key"]
+    kind = matchups.schema["id"].dataType
+    if kind == markets.schema["matchup_id"].dataType and isinstance(kind, T.DecimalType):
+        # wide decimals are dear to compare: their hashes are compared first
+        m, sides, by = m.withColumn("_mh", F.xxhash64("matchup_id")), sides.withColumn("_h", F.xxhash64("id")), ["_h", "id", "key"]
+        on = (F.col("_mh") == F.col("_h")) & on
+    elif isinstance(kind, T.StringType):
+        by = ["market_key"]     # with a bar in them, two ids and keys can make one market key
+    main = ~F.col("is_alternate") & (F.col("period") == 0) & F.col("market_type").isin("moneyline", "spread", "total")
+    m = large(m).join(large(sides), on).where(F.col("is_prop") | main)
+
+    def row(p: Column) -> Column:
+        side = p["designation"]
+        s = (F.when(F.col("is_prop"), p["participant"]).when(side == "home", F.col("home")).when(side == "away", F.col("away")).when(side == "draw", "Nul")
+             .when(side == "over", "Plus").when(side == "under", "Moins").otherwise(side))
+        return F.struct(s.alias("selection"), p["points"].alias("line"), american_to_decimal(p["price"], strict=False).alias("pin_odds"))
+
+    m = m.select(*[c for c in by if c != "market_key"], *[c for c in ("id", "key") if c not in by], "_pid", "start", "home", "away", "unit", "is_prop",
+                 F.when(F.col("is_prop"), F.col("_title")).otherwise(F.col("market_type")).alias("market"), F.concat_ws("|", "id", "key").alias("market_key"),
+                 F.transform("prices", row).alias("rows"))
+    fair = devig_markets(m, by, "rows", "selection", "pin_odds", method, margin="pin_margin")
+    return fair.select("market_key", "selection", F.when(F.col("is_prop"), F.col("_pid")).otherwise(F.col("id")).alias("event_id"), "start", "home", "away",
+                       F.concat_ws(" - ", "home", "away").alias("event"), "market", "is_prop", "unit", "line", "pin_odds", "fair_prob", "pin_margin",
+                       (1 / F.col("fair_prob")).alias("fair_odds"))
 
 
 MATCH_PAYLOAD = ("struct<rosters: map<string, map<string, struct<player_id: string, team_id: string, player: string, position: string, time: string, goals: string, "
