@@ -103,6 +103,15 @@ def test_lm_scores(spark, docs, none):
     assert op4_lm.score_texts(docs, op4_lm.learn(none)).where("score > 0 OR n_known > 0").count() == 0
 
 
+def test_op4_words_are_cut_as_bytes(spark):
+    text = "ÀB\u00a0C\x1cD\tE\x0bF\x0cg\r\n  \u3000H \x85I É\u2028j"
+    assert op4_lm.Words().tokens(text.encode()) == [w.encode() for w in ["Àb\u00a0c\x1cd", "e", "f", "g", "\u3000h", "\x85i", "É\u2028j", "\n"]]
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "e E É")], "doc_id long, text string")
+    near, far = (op4_lm.score_texts(docs, op4_lm.learn(docs.where("doc_id < 4"), head=h)).orderBy("id").collect() for h in (1000, 2))
+    assert [(r["n_tokens"], r["n_known"]) for r in near] == [(8, 8), (1, 1), (1, 1), (4, 3)]
+    assert [(r["n_tokens"], r["n_known"], round(r["base_score"], 9)) for r in far] == [(r["n_tokens"], r["n_known"], round(r["base_score"], 9)) for r in near]
+
+
 def test_levels_keep_small_counts():
     import numpy as np
     c = np.arange(1, 2000)
