@@ -61,3 +61,30 @@ def test_market_goals_and_grid_round_trip(spark):
     df = df.withColumn("g", goals.score_grid("h", "d", "l", "o")).select("id", "g.*")
     ev = goals.event_probabilities(df, ["id"], "lam_h", "lam_a", "rho", {"h": goals.indicator(lambda h, a: h > a), "d": goals.indicator(lambda h, a: h == a), "o": goals.indicator(lambda h, a: h + a > 2.5)}).first()
     assert abs(ev.h - .55) < 1e-4 and abs(ev.d - .24) < 1e-4 and abs(ev.o - .55) < 1e-4
+
+
+def test_score_cells_are_summed_for_many_rows(spark, monkeypatch):
+    """Events of the score alone need no row per cell, with the sums of the cells; fits that are met leave the others."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from fairline.models import goals
+    df = spark.createDataFrame([(1, 1.4, 1.1, -0.05, 0.3), (2, 0.4, 2.2, 0.1, 0.3), (2, 0.4, 2.2, 0.1, 0.3), (3, 2.0, float("nan"), 0.0, 0.3)], "id int, x double, y double, rho double, share double")
+    ev = {"h": goals.indicator(lambda h, a: h > a), "two": lambda h, a: goals.players_factor(h, [F.lit(0.3), F.lit(0.2)])}
+    alone = goals.event_probabilities(df, ["id"], "x", "y", "rho", ev)
+    assert "explode" not in alone._jdf.queryExecution().optimizedPlan().toString()
+    of_rows = {**ev, "one": lambda h, a: goals.players_factor(h, [F.col("share")])}
+    monkeypatch.setattr(goals, "_cell_weights", lambda *a: None)
+    want = goals.event_probabilities(df, ["id"], "x", "y", "rho", ev)
+    got, want = sorted(map(tuple, alone.collect())), sorted(map(tuple, want.collect()))
+    assert [x[0] for x in got] == [1, 2, 3] and np.allclose([x[1:] for x in got], [x[1:] for x in want], atol=1e-12, equal_nan=True)
+    monkeypatch.undo()
+    assert goals._cell_weights(spark, of_rows) is None
+
+    seen, grid = [], goals._grid
+    monkeypatch.setattr(goals, "_grid", lambda x: seen.append(len(x)) or grid(x))
+    p = goals._grid(np.log(np.column_stack([np.linspace(0.8, 2, 50), np.linspace(1.5, 0.7, 50), np.full(50, np.exp(-0.05))])))
+    h, a = np.indices((11, 11))
+    seen.clear()
+    fit = goals.fit_grids(p[:, h > a].sum(1), p[:, h == a].sum(1), np.full((50, 1), 2.5), p[:, h + a > 2.5].sum(1)[:, None])
+    assert fit[:, 3].max() < 1e-9 and np.allclose(fit[:, 0], np.linspace(0.8, 2, 50), atol=1e-6) and sum(seen) < 50 * 60
