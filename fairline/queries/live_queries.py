@@ -142,7 +142,7 @@ def boosts(spark, sf):
 @query("X5_X6_boost_legs", """select match_id, concat(home, ' gagne et plus de ', cast(1+fthg as varchar), ',5 buts') as text, 2.1::double as orig_odds, (10+fthg)::double as max_stake,
  concat('win:', lower(home), '|over:', cast(fthg+1.5 as double)) as legs from matches""", ("matches",))
 def x5(spark, sf):
-    b = boosts(spark, sf).withColumn("f", Y.boost_fields("raw")).select("match_id", "f.*")
+    b = boosts(spark, sf).select("match_id", F.explode(F.array(Y.boost_fields("raw"))).alias("f")).select("match_id", "f.*")      # fields are found once
     legs = F.array_join(F.transform(Y.parse_legs("text"), lambda x: F.concat(x["kind"], F.lit(":"), F.coalesce(x["line"].cast("string"), x["who"]))), "|")
     return b.select("match_id", "text", "orig_odds", "max_stake", legs.alias("legs"))
 
