@@ -64,3 +64,17 @@ def test_conditional_logit(spark, counted, whole, monkeypatch):
             assert np.abs(grad).max() < 1e-6
         else:
             assert np.abs(grad).max() < 1.5      # the group with a null adds its own part
+
+
+def test_groups_of_a_conditional_fit_are_met_once(spark, counted, monkeypatch):
+    """Rows are read once to be brought together, and groups too large to be held, or with missing values, give the same fit; null keys are no group."""
+    through, seen = counted
+    rng = np.random.default_rng(4)
+    rows = [(1 + i % 2, i // 12, float(rng.normal()), int(rng.integers(0, 3))) for i in range(480)] + [(1, None, 0.1, 1), (1, 900, 0.4, 0), (1, 900, 0.2, 0)]
+    df = spark.createDataFrame(rows, "fold int, game int, a double, goals int")
+    want = fits.fit_conditional_logit(df, ["game"], ["a"], "goals", [0.0])
+    got = fits.fit_conditional_logit(df.withColumn("goals", through("goals", "int")), ["game"], ["a"], "goals", [0.0])
+    assert seen.value <= len(rows) and all(np.allclose(got[f], want[f]) for f in (1, 2))
+    monkeypatch.setattr(fits, "WHOLE", 5)
+    large = fits.fit_conditional_logit(df, ["game"], ["a"], "goals", [0.0])
+    assert all(np.allclose(large[f], want[f], atol=1e-7) for f in (1, 2))
